@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, quality_rules
+from tessera.llm import bpe, exact_dedup, quality_rules
 from tessera.llm.common import table
 
 OP1_SQL = """
@@ -29,6 +33,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).withColumn("llr", F.round("llr", 9))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    def digests(coder: bpe.BytePairCoder, ids) -> tuple:
+        listed = ids.tolist()
+        decimal = ",".join(map(str, listed))
+        return len(listed), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(coder.decode(listed).encode()).hexdigest()
+
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return bpe.token_map(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text", digests, schema, fields)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
