@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, quality_rules
+from tessera.llm import bpe, exact_dedup, packing, quality_cnn, quality_rules
 from tessera.llm.common import table
 
 OP1_SQL = """
@@ -44,6 +44,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataF
     return bpe.token_map(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text", digests, schema, fields)
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return packing.with_crc32(packing.pack(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
