@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, exact_dedup, html_text, ngram_join, packing, quality_cnn, quality_rules, warc
+from tessera.llm import bpe, chat_format, exact_dedup, html_text, language_id, ngram_join, packing, quality_cnn, quality_rules, warc
 from tessera.llm.common import table
 
 OP1_SQL = """
@@ -33,6 +33,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).withColumn("llr", F.round("llr", 9))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.withColumn("probability", F.round("probability", 9))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.Rule(size=3, num=90, den=100))
 
