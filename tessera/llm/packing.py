@@ -31,7 +31,7 @@ from tessera.llm.common import drop, text_or_empty, written
 WINDOW = 4096
 UNITS = 64
 DEPTH = 4
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 _BATCH_BYTES = 1 << 20
 _TAIL_MARKS = re.compile(rb"(?<=[a-z])([.,!]+)(?=[ \n])")
 _CODERS: dict[int, WordCoder] = {}
@@ -61,8 +61,7 @@ class WordCoder:
 
     def _learn(self, fresh: list[bytes]) -> None:
         plain, other = [], []
-        for w in fresh:
-            s = w.decode()
+        for w, s in zip(fresh, b" ".join(fresh).decode().split(" "), strict=True):
             (plain if s.isalpha() and s == s.lower() else other).append((w, s))
         ids = np.array(self.tok.encode_batch_fast([" ".join(s for _, s in plain)], add_special_tokens=False)[0].ids if plain else [], dtype=self.dtype)
         ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
@@ -87,7 +86,7 @@ class WordCoder:
             split.append(b.split())
         fresh = set().union(*split).difference(self.known)
         if fresh:
-            self._learn(sorted(fresh))
+            self._learn(list(fresh))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
