@@ -106,7 +106,9 @@ def quality_rules(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id"
     rows = rows.withColumn("_grams", _grams(F.col("_words"), F.col("n_words"), buckets)).withColumn("_weights", weights.scalar())
     total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_weights"), g))
     rows = rows.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0))
-    return rows.select(
+    out = rows.select(
         "doc_id", F.col("n_words").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr",
     )
+    # a generator, so that no filter on the result is pushed below the arrays and repeats their expressions for each element
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
