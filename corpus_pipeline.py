@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, packing, quality_cnn, quality_rules
 from tessera.llm.common import table, written
@@ -18,20 +17,12 @@ from tessera.llm.queries import trusted_ids
 NEAR = ngram_join.Rule(size=5, num=80, den=100)
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``, one row per doc_id."""
-    ids = kept.select(F.col("doc_id").alias("_keep"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi").select(*docs.columns)
-
-
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = quality_rules.quality_rules(docs, trusted_ids(spark, sf_dir))
-    return _keep(docs, verdicts.where("kept"))
+    return quality_rules.keep_passing(docs, trusted_ids(spark, sf_dir))
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = quality_cnn.quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, scores.where("predicted = 1"))
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +31,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    found = ngram_join.near_duplicates(docs, NEAR)
-    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return ngram_join.drop_near_duplicates(docs, NEAR)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

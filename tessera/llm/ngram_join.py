@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, text_or_empty, written
+from tessera.llm.common import bounded_broadcast, drop, release, text_or_empty, written
 from tessera.llm.graph import components
 
 #: Frequent n-grams that the order knows, and the count within ``_COUNT_EVERY`` n-grams from which a task reports one.
@@ -41,6 +41,8 @@ _COUNT_EVERY = 1 << 20
 #: Rows of an n-gram that a tile takes of each of two blocks.
 TILE = 1024
 STAR_ROUNDS = 4
+#: Ids of class representatives are broadcast up to this many rows; beyond, the join shuffles.
+BROADCAST_IDS = 4_000_000
 _BATCH_BYTES = 4 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -90,6 +92,10 @@ def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def first_half(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def signature(grams: np.ndarray) -> bytes:
     """Parity bitmap: a bit for each bucket, set if an odd number of n-grams fall in it; at least n / 2 bits, a power of 2.
 
@@ -122,11 +128,14 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, str]]:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+    text = text_or_empty(F.col(text_col))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("xx"))
 
 
 def gram_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``sets(doc_id, n, key, sig)`` of all rows (key and sig null without words), and ``frequent(token, n)``."""
+    """``sets(doc_id, n, key, k1, sig, xx)`` of all rows (key, k1 and sig null without words; ``xx`` a hash of the
+    text), and ``frequent(token, n)``."""
+    names = ["doc_id", "n", "key", "k1", "sig", "xx", "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -137,8 +146,8 @@ def gram_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[
             values, times = np.unique(np.concatenate(held), return_counts=True)
             often = times >= _REPORT_FROM
             k = int(often.sum())
-            none = pa.nulls(k)
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(times[often].astype(np.int64)), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(values[often].view(np.int64))], ["doc_id", "n", "key", "sig", "token"])
+            long, raw = pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
+            return pa.RecordBatch.from_arrays([long, pa.array(times[often].astype(np.int64)), raw, long, raw, long, pa.array(values[often].view(np.int64))], names)
 
         for batch in batches:
             ns, keys, sigs = [], [], []
@@ -155,34 +164,32 @@ def gram_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[
                         yield report()
                         held.clear()
                         count = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.nulls(len(ns)).cast(pa.int64())], ["doc_id", "n", "key", "sig", "token"])
+            halves = [None if k is None else first_half(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.int64()), pa.array(sigs, pa.binary()), batch.column(2), pa.nulls(len(ns), pa.int64())], names)
         if held:
             yield report()
 
-    both = written(_source(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, key binary, sig binary, token bigint"), "sets")
+    both = written(_source(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, key binary, k1 bigint, sig binary, xx bigint, token bigint"), "sets")
     sets, frequent = both.where("token is null").drop("token"), both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
     sets._tessera_path = both._tessera_path
     return sets, frequent
 
 
 def leading_grams(docs: DataFrame, rule: Rule, order: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``token, key, k1, n, band``: the leading n-grams of each class that a task meets, once per task. ``order`` has
-    the frequent n-grams, rarest first; all others come before them, by hash."""
+    """``token, k1, n``: the leading n-grams of each class that a task meets, once per task. ``k1`` is the first half of
+    the class's key. ``order`` has the frequent n-grams, rarest first; all others come before them, by hash."""
     known = np.argsort(order, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((order[known], known.astype(np.uint64) + np.uint64(1), rule.edges()))
+    shared = docs.sparkSession.sparkContext.broadcast((order[known], known.astype(np.uint64) + np.uint64(1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks, edges = shared.value
+        values, ranks = shared.value
         seen: set[bytes] = set()
-        tokens, keys, firsts, ns, bands, held = [], [], [], [], [], 0
+        tokens, firsts, ns, held = [], [], [], 0
 
         def flush():
             sizes = [len(t) for t in tokens]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, dtype=object), sizes), pa.binary()), *(pa.array(np.repeat(np.array(c, dtype=np.int64), sizes)) for c in (firsts, ns, bands))],
-                ["token", "key", "k1", "n", "band"],
-            )
-            for c in (tokens, keys, firsts, ns, bands):
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.repeat(np.array(c, dtype=np.int64), sizes)) for c in (firsts, ns))], ["token", "k1", "n"])
+            for c in (tokens, firsts, ns):
                 c.clear()
             return out
 
@@ -200,10 +207,8 @@ def leading_grams(docs: DataFrame, rule: Rule, order: np.ndarray, id_col: str, t
                     if rank.any():
                         g = g[np.argsort(rank, kind="stable")]
                 tokens.append(g[:lead])
-                keys.append(key)
-                firsts.append(int.from_bytes(key[:8], "little", signed=True))
+                firsts.append(first_half(key))
                 ns.append(len(g))
-                bands.append(int(np.searchsorted(edges, len(g), side="right")) - 1)
                 held += lead
                 if held > 200_000:
                     yield flush()
@@ -211,26 +216,23 @@ def leading_grams(docs: DataFrame, rule: Rule, order: np.ndarray, id_col: str, t
         if tokens:
             yield flush()
 
-    return written(_source(docs, id_col, text_col).mapInArrow(run, "token bigint, key binary, k1 bigint, n bigint, band bigint"), "leading")
+    return written(_source(docs, id_col, text_col).mapInArrow(run, "token bigint, k1 bigint, n bigint"), "leading")
 
 
-def _arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """``key, grams`` (sorted uint64, as bytes) of the wanted classes, each from one of its rows."""
-    rows = sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("rep"))
+def _arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """``key, grams`` (sorted uint64, as bytes) of the wanted classes, each from its row of smallest id."""
+    reps = sets.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "xx")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("r.xx").alias("rep_xx"))
+    reps = bounded_broadcast(written(reps, "representatives"), BROADCAST_IDS)
     src = _source(docs, id_col, text_col)
-    texts = src.join(rows, src["doc_id"].eqNullSafe(rows["rep"])).select("key", "text")
+    texts = src.join(reps, src["doc_id"].eqNullSafe(reps["rep"]) & (F.col("xx") == F.col("rep_xx")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, grams = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                g = gram_set(text.as_py(), rule.size)
-                if set_key(g) == key:  # an id may belong to several texts
-                    keys.append(key)
-                    grams.append(g.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(grams, pa.binary())], ["key", "grams"])
+            made = [gram_set(t, rule.size) for _, t in _texts(batch, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_key, made), pa.binary()), pa.array([g.tobytes() for g in made], pa.binary())], ["key", "grams"])
 
-    return written(texts.mapInArrow(run, "key binary, grams binary").dropDuplicates(["key"]), "arrays")
+    # a row that is repeated gives its array twice, which repeats a check and no more
+    return written(texts.mapInArrow(run, "key binary, grams binary"), "arrays")
 
 
 def _bounded(pairs: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
@@ -272,12 +274,14 @@ def _verified(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
 def _tile_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of different components that share a token, are of a size, and whose bitmaps allow a link.
 
-    ``rows``: token, key, n, band, comp, sig, m (rows of the token). Each row goes to the tiles of its own size band
+    ``rows``: token, key, n, comp, sig, m (rows of the token). Each row goes to the tiles of its own size band
     and, as the larger side, of the band below; within them to those of its block with every block.
     """
     blocks = F.ceil(F.col("m") / TILE).cast("int")
+    edges = F.array(*(F.lit(int(e)) for e in rule.edges()))
+    band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
     dealt = (
-        rows.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        rows.withColumn("band", band).withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
         .select("token", (F.col("band") - F.col("up")).alias("tile_band"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "up", "n", "key", "comp", "sig")
@@ -341,17 +345,23 @@ def _fold_all(sigs: list[bytes], size: int) -> np.ndarray:
 
 
 def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``sets(doc_id, n, key, sig)`` of all rows and ``labels(node, comp)`` of the classes that are linked to others."""
+    """``sets`` of all rows and ``labels(node, comp)`` of the classes that are linked to others."""
+    spark = docs.sparkSession
     sets, frequent = gram_sets(docs, rule, id_col, text_col)
     top = frequent.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()  # at most FREQUENT rows; others are ordered by hash
     order = np.array([r["token"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
     leading = leading_grams(docs, rule, order, id_col, text_col)
     mixed = leading.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("token")
-    cand = written(leading.join(mixed, "token").select("token", "key", "n", "band").distinct(), "candidates")
+    grams = written(leading.join(mixed, "token").distinct(), "shared-grams")
     drop(leading)
-    wanted = written(cand.select("key").distinct(), "wanted")
-    sigs = written(sets.where("key is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
-    arrays = _arrays(docs, sets, wanted, rule, id_col, text_col)
+    release(spark)
+    classes = sets.where("key is not null").groupBy("key").agg(F.first("k1").alias("k1"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sigs = written(classes.join(grams.select("k1").distinct(), "k1", "left_semi"), "signatures")
+    # two classes of one k1 are candidates both; what links is decided on sets alone
+    cand = written(grams.select("token", "k1").join(sigs.select("k1", "key", "n"), "k1").select("token", "key", "n"), "candidates")
+    drop(grams)
+    arrays = _arrays(docs, sets, sigs, id_col, text_col, rule)
+    release(spark)
     links = None
     labels = None
     for star in range(STAR_ROUNDS + 1):
@@ -365,24 +375,26 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
         last = star == STAR_ROUNDS or (star > 0 and work["pairs"] <= 8 * work["rows"])
         if last:
             tiles = rows.join(live.select("token", "m"), "token").join(sigs.select("key", "sig"), "key")
-            pairs = _tile_pairs(tiles.select("token", "key", "n", "band", "comp", "sig", "m"), rule)
+            pairs = _tile_pairs(tiles.select("token", "key", "n", "comp", "sig", "m"), rule)
         else:
             c = F.col("c")
             near = (F.col("comp") != c["comp"]) & (rule.den * F.least("n", c["n"]) >= rule.num * F.greatest("n", c["n"]))
             votes = rows.join(live, "token").where(near).groupBy(F.col("key").alias("a"), c["key"].alias("b")).agg(F.count("*").alias("votes"))
             best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
-            pairs = votes.withColumn("r", F.row_number().over(best)).where("r <= 3").select("a", "b")
+            pairs = votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b")
             pairs = _bounded(pairs, sigs, rule)
         fresh = written(_verified(pairs, arrays, rule), "links")
         links = fresh if links is None else links.unionByName(fresh)
         drop(live)
+        release(spark)
         if not fresh.isEmpty():
             labels = components(links)
         if last:
             break
     if labels is None:
-        labels = docs.sparkSession.createDataFrame([], "node binary, comp binary")
-    drop(cand, wanted, sigs, arrays)
+        labels = spark.createDataFrame([], "node binary, comp binary")
+    drop(cand, sigs, arrays)
+    release(spark)
     return sets, labels
 
 
@@ -395,9 +407,28 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     gives an empty result; other columns are not read. Equality of n-grams is that of 64-bit hashes, and of sets that
     of 128-bit digests.
     """
+    rows, least = _members(docs, rule, id_col, text_col)
+    # rows and least are tables, so the partition of a hot component can be split
+    return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
+
+
+def _members(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``rows(doc_id, xx, n, comp)`` and each component's ``least`` row as (doc_id, xx); null ids come last."""
     sets, labels = linked_classes(docs, rule, id_col, text_col)
-    rows = written(sets.join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "key").alias("comp")), "members")
-    least = written(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
+    rows = written(sets.join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "xx", "n", F.coalesce("comp", "key").alias("comp")), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xx"))
+    least = written(rows.where("comp is not null").groupBy("comp").agg(first.alias("least")), "least")
     drop(sets)
-    # rows and least are tables, so the partition of a hot component can be split
-    return rows.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows, least
+
+
+def drop_near_duplicates(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, a row with its smallest doc_id. Texts without words all stay."""
+    _, least = _members(docs, rule, id_col, text_col)
+    kept = least.select(F.col("least.doc_id").alias("_keep"), F.col("least.xx").alias("_xx0"))
+    text = text_or_empty(F.col(text_col))
+    marked = docs.withColumn("_xx", F.xxhash64(text))
+    joined = marked.join(kept, marked[id_col].eqNullSafe(kept["_keep"]) & (marked["_xx"] == kept["_xx0"]), "left_semi")
+    once = Window.partitionBy(id_col, "_xx").orderBy(F.lit(1))  # of rows that repeat id and text, one stays
+    reps = joined.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    return reps.unionByName(docs.where(~text.rlike("[^\\x20\\x09-\\x0D]")))

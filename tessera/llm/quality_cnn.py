@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import text_or_empty
 
@@ -177,16 +178,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return [(t, y, counts[y] / number[y]) for _, (t, y) in sorted(one.items())]
 
 
-def score(docs: DataFrame, net: ByteCnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for every row: the network's probability for the whole text; null counts as empty."""
+def with_score(docs: DataFrame, net: ByteCnn, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the network's probability for the whole text in column ``name``; null counts as empty."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.value.score(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            scores = [model.value.score(t.as_py() or "") for t in batch.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -200,7 +201,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     The network learns only from labelled rows that are not held out. Every row is scored for itself, so repeated
     rows, null ids (never held out) and extra columns are fine; an empty table gives an empty result.
     """
-    sample = training_rows(docs, labels.where(~held_out(F.col(labels.columns[0]))), id_col, text_col, label_col)
-    net = fit([t for t, _, _ in sample], [y for _, y, _ in sample], [w for _, _, w in sample])
-    scored = score(docs, net, id_col, text_col)
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = with_score(src, trained(docs, labels, id_col, text_col, label_col), "text", "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> ByteCnn:
+    sample = training_rows(docs, labels.where(~held_out(F.col(labels.columns[0]))), id_col, text_col, label_col)
+    return fit([t for t, _, _ in sample], [y for _, y, _ in sample], [w for _, _, w in sample])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is ``cut`` or more, with all their columns."""
+    net = trained(docs, labels, id_col, text_col, label_col)
+    return with_score(docs, net, text_col, "_score").where(F.col("_score") >= cut).select(*docs.columns)

@@ -101,14 +101,23 @@ def quality_rules(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id"
     ``llr >= threshold`` where the base rules pass. Texts without words have llr 0 and fail the base rules. Rows that
     repeat, null ids and extra columns are fine: every row is scored for itself.
     """
+    return _judged(docs, target_ids, id_col, text_col, buckets, threshold).drop("_row")
+
+
+def keep_passing(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns."""
+    return _judged(docs, target_ids, id_col, text_col, buckets, threshold).where("kept").select("_row.*")
+
+
+def _judged(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, buckets: int, threshold: float) -> DataFrame:
     weights = gram_weights(docs, target_ids, id_col, text_col, buckets)
-    rows = rule_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text")
+    rows = rule_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row")), "_text")
     rows = rows.withColumn("_grams", _grams(F.col("_words"), F.col("n_words"), buckets)).withColumn("_weights", weights.scalar())
     total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_weights"), g))
     rows = rows.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0))
     out = rows.select(
         "doc_id", F.col("n_words").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr",
+        (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr", "_row",
     )
     # a generator, so that no filter on the result is pushed below the arrays and repeats their expressions for each element
     return out.select(F.inline(F.array(F.struct(*out.columns))))
