@@ -360,8 +360,6 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     # two classes of one k1 are candidates both; what links is decided on sets alone
     cand = written(grams.select("token", "k1").join(sigs.select("k1", "key", "n"), "k1").select("token", "key", "n"), "candidates")
     drop(grams)
-    arrays = _arrays(docs, sets, sigs, id_col, text_col, rule)
-    release(spark)
     links = None
     labels = None
     for star in range(STAR_ROUNDS + 1):
@@ -383,7 +381,10 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
             best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
             pairs = votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b")
             pairs = _bounded(pairs, sigs, rule)
+        pairs = written(pairs.select("a", "b"), "pairs")
+        arrays = _arrays(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), id_col, text_col, rule)
         fresh = written(_verified(pairs, arrays, rule), "links")
+        drop(pairs, arrays)
         links = fresh if links is None else links.unionByName(fresh)
         drop(live)
         release(spark)
@@ -393,7 +394,7 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
             break
     if labels is None:
         labels = spark.createDataFrame([], "node binary, comp binary")
-    drop(cand, sigs, arrays)
+    drop(cand, sigs)
     release(spark)
     return sets, labels
 
