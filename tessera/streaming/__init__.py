@@ -1 +1 @@
-"""Part of tessera."""
+"""Structured Streaming forms of the frame operators."""
