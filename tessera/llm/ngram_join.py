@@ -8,15 +8,16 @@ documents together unless they are little else.
 1. One pass over the texts gives each class's key, size and signature (parity bitmap), and which n-grams are frequent.
 2. A second pass gives each class's leading n-grams. N-grams that only one class has are dropped by a grouped minimum
    and maximum; no group is gathered.
-3. Star rounds: every remaining n-gram names one class as its centre, classes are checked against their centres, and
-   links found are contracted into components. A large group of near copies becomes one component in about as many
-   checks as it has members. An n-gram whose classes are all in one component is done.
-4. Exact completion: the classes of an n-gram that are in different components are dealt to tiles of bounded size by
-   size band and block. In a tile, bit counts of the signatures bound the overlap of every pair from above; pairs that
-   could reach t, of different components, go to the exact intersection of their sorted arrays.
-
-Steps 3 and 4 together leave no two linked documents in different components. Only rounds of step 3 vary with the
-data, and they never decide alone that two classes are not linked.
+3. The classes of an n-gram are dealt to tiles by size band (each band with the one above) and, where they are many,
+   by block. Tiles without two classes go. In a tile, bit counts of the signatures bound the overlap of every pair
+   from above; pairs that could reach t go to the exact intersection of their sorted arrays.
+4. Forest rounds come first: a tile names only enough pairs to join what could be linked, and blocks are not crossed,
+   so a large group of near copies costs about as many checks as it has members. Links found are contracted into
+   components, and tiles that lie in one component are done.
+5. The last round is exact: every pair of a tile that lies in different components and could reach t is checked. The
+   largest component of a tile stays in its blocks and all others visit each block.
+
+Only the last round decides that two components are not linked.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ from tessera.llm.graph import components
 FREQUENT = 50_000
 _REPORT_FROM = 6
 _COUNT_EVERY = 1 << 20
-#: Rows of an n-gram that a tile takes of each of two blocks.
+#: Rows that a block of a tile takes.
 TILE = 1024
-STAR_ROUNDS = 4
+FOREST_ROUNDS = 2
 #: Ids of class representatives are broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 _BATCH_BYTES = 4 << 20
@@ -235,25 +236,6 @@ def _arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, te
     return written(texts.mapInArrow(run, "key binary, grams binary"), "arrays")
 
 
-def _bounded(pairs: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that their bitmaps do not rule out, with ``differ``."""
-    side = lambda x: sigs.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {n: batch.column(n) for n in batch.schema.names}
-            differ = []
-            for x, y in zip(c["sa"], c["sb"], strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint8)[None] for v in (x, y))
-                size = min(p.shape[1], q.shape[1])
-                differ.append(int(np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum()))
-            differ = np.array(differ, dtype=np.int64)
-            ok = pa.array(may_link(c["na"].to_numpy(), c["nb"].to_numpy(), differ, rule))
-            yield pa.RecordBatch.from_arrays([c["a"].filter(ok), c["b"].filter(ok), pa.array(differ).filter(ok)], ["a", "b", "differ"])
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary, differ bigint")
-
-
 def _verified(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that are linked, by exact intersection of their sorted arrays."""
 
@@ -271,43 +253,33 @@ def _verified(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
-def _tile_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components that share a token, are of a size, and whose bitmaps allow a link.
+def _tile_pairs(rows: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+    """Pairs (a, b) that share a tile, are of a size and of different components, and whose bitmaps allow a link.
 
-    ``rows``: token, key, n, comp, sig, m (rows of the token). Each row goes to the tiles of its own size band
-    and, as the larger side, of the band below; within them to those of its block with every block.
+    ``rows``: token, tile_band, block, up, key, n, comp, sig. Of two rows of the upper band (up = 1) another tile takes
+    care. With ``forest``, a tile names only pairs that join components which it has not joined yet.
     """
-    blocks = F.ceil(F.col("m") / TILE).cast("int")
-    edges = F.array(*(F.lit(int(e)) for e in rule.edges()))
-    band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
-    dealt = (
-        rows.withColumn("band", band).withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-        .select("token", (F.col("band") - F.col("up")).alias("tile_band"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "up", "n", "key", "comp", "sig")
-    )
-    tile = ["token", "tile_band", "i", "j"]
-    # only what joins a smaller or equal one can match
-    placed = dealt.repartition(*tile).sortWithinPartitions(*tile)
-
-    def pairs_of(keys, comps, sigs, n, up, own, i, j):
+    tile = ["token", "tile_band", "block"]
+    placed = rows.select(*tile, "up", "n", "key", "comp", "sig").repartition(*tile).sortWithinPartitions(*tile, "key")
+
+    def pairs_of(up, n, keys, comps, sigs):
         out = []
-        if len(keys) < 2:
+        if len(keys) < 2 or len(set(comps)) < 2 or not (up == 0).any():
             return out
-        size = min(len(s) for s in sigs)
-        words = _fold_all(sigs, size)
+        words = _fold_all(sigs, min(len(s) for s in sigs))
         comp = np.unique([c.hex() for c in comps], return_inverse=True)[1]
-        for x in range(len(keys)):
+        for x in range(len(keys) - 1):
             y = np.arange(x + 1, len(keys))
             y = y[(up[x] + up[y] < 2) & (comp[y] != comp[x])]
-            if i != j:
-                y = y[own[y] != own[x]]
-            small, large = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-            y = y[rule.den * small >= rule.num * large]
-            if len(y):
-                differ = np.bitwise_count(words[y] ^ words[x]).sum(axis=1).astype(np.int64)
-                for z in y[may_link(n[y], n[x], differ, rule)]:
-                    out.append((min(keys[x], keys[z]), max(keys[x], keys[z])))
+            y = y[rule.den * np.minimum(n[y], n[x]) >= rule.num * np.maximum(n[y], n[x])]
+            if not len(y):
+                continue
+            differ = np.bitwise_count(words[y] ^ words[x]).sum(axis=1).astype(np.int64)
+            y = y[may_link(n[y], n[x], differ, rule)]
+            if forest and len(y):
+                y = y[np.unique(comp[y], return_index=True)[1]]
+                comp[np.isin(comp, comp[y])] = comp[x]
+            out += [(min(keys[x], keys[z]), max(keys[x], keys[z])) for z in y]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,26 +288,26 @@ def _tile_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
 
         def close():
             cols = list(zip(*held, strict=True))
-            up = np.array(cols[5])
-            if not (up == 0).any():
-                return []
-            found = [p for p in pairs_of(cols[7], cols[8], cols[9], np.array(cols[6]), up, np.array(cols[4]), cols[2][0], cols[3][0]) if p not in sent]
+            found = [p for p in pairs_of(np.array(cols[3]), np.array(cols[4]), *cols[5:]) if p not in sent]
             if len(sent) > 200_000:
                 sent.clear()
             sent.update(found)
             return found
 
+        def pack(out):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+
         for batch in batches:
             out = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:4] != r[:4]:
+                if held and held[-1][:3] != r[:3]:
                     out += close()
                     held.clear()
                 held.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+                yield pack(out)
         if held and (out := close()):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+            yield pack(out)
 
     return placed.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -352,49 +324,45 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     order = np.array([r["token"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
     leading = leading_grams(docs, rule, order, id_col, text_col)
     mixed = leading.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("token")
-    grams = written(leading.join(mixed, "token").distinct(), "shared-grams")
+    shared = leading.join(mixed, "token").distinct()
+    edges = F.array(*(F.lit(int(e)) for e in rule.edges()))
+    band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
+    dealt = written(shared.withColumn("band", band).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).select("token", (F.col("band") - F.col("up")).alias("tile_band"), "up", "k1", "n"), "dealt")
     drop(leading)
     release(spark)
+    tile = ["token", "tile_band"]
+    alive = dealt.groupBy(*tile).agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("up").alias("own")).where("lo <> hi and own = 0").select(*tile)
+    grams = written(dealt.join(alive, tile), "shared-grams")
+    drop(dealt)
     classes = sets.where("key is not null").groupBy("key").agg(F.first("k1").alias("k1"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    sigs = written(classes.join(grams.select("k1").distinct(), "k1", "left_semi"), "signatures")
+    sigs = classes.join(grams.select("k1").distinct(), "k1", "left_semi")
     # two classes of one k1 are candidates both; what links is decided on sets alone
-    cand = written(grams.select("token", "k1").join(sigs.select("k1", "key", "n"), "k1").select("token", "key", "n"), "candidates")
+    cand = written(grams.select(*tile, "up", "k1").join(sigs, "k1").select(*tile, "up", "key", "n", "sig"), "candidates")
     drop(grams)
-    links = None
-    labels = None
-    for star in range(STAR_ROUNDS + 1):
-        rows = cand.withColumn("comp", F.col("key")) if labels is None else cand.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        live = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("key", F.lit(star)).alias("h"), "key", "n", "comp")).alias("c")).where("lo <> hi").select("token", "m", "c")
-        live = written(live, "live")
-        work = live.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not work["rows"]:
-            drop(live)
-            break
-        last = star == STAR_ROUNDS or (star > 0 and work["pairs"] <= 8 * work["rows"])
-        if last:
-            tiles = rows.join(live.select("token", "m"), "token").join(sigs.select("key", "sig"), "key")
-            pairs = _tile_pairs(tiles.select("token", "key", "n", "comp", "sig", "m"), rule)
-        else:
-            c = F.col("c")
-            near = (F.col("comp") != c["comp"]) & (rule.den * F.least("n", c["n"]) >= rule.num * F.greatest("n", c["n"]))
-            votes = rows.join(live, "token").where(near).groupBy(F.col("key").alias("a"), c["key"].alias("b")).agg(F.count("*").alias("votes"))
-            best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
-            pairs = votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b")
-            pairs = _bounded(pairs, sigs, rule)
-        pairs = written(pairs.select("a", "b"), "pairs")
+    release(spark)
+    links, labels = None, None
+    for turn in range(FOREST_ROUNDS + 1):
+        last = turn == FOREST_ROUNDS
+        rows = cand.withColumns({"comp": F.col("key"), "members": F.lit(1).cast("bigint")})
+        if labels is not None:
+            sizes = labels.join(labels.groupBy("comp").agg(F.count("*").alias("members")), "comp").withColumnRenamed("node", "key")
+            rows = cand.join(sizes, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "members": F.coalesce("members", F.lit(1))})
+        live = rows.groupBy(*tile).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.max(F.struct("members", "comp"))["comp"].alias("top")).where("lo <> hi").select(*tile, "m", "top")
+        blocks = F.ceil(F.col("m") / TILE).cast("int")
+        own = F.array(F.pmod(F.xxhash64("key", F.lit(turn)), blocks).cast("int"))
+        every = F.when(F.col("comp") == F.col("top"), own).otherwise(F.sequence(F.lit(0), blocks - 1)) if last else own
+        tiles = rows.join(live, tile).withColumn("block", F.explode(every))
+        pairs = written(_tile_pairs(tiles, rule, not last), "pairs")
         arrays = _arrays(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), id_col, text_col, rule)
         fresh = written(_verified(pairs, arrays, rule), "links")
         drop(pairs, arrays)
         links = fresh if links is None else links.unionByName(fresh)
-        drop(live)
         release(spark)
         if not fresh.isEmpty():
             labels = components(links)
-        if last:
-            break
     if labels is None:
         labels = spark.createDataFrame([], "node binary, comp binary")
-    drop(cand, sigs)
+    drop(cand)
     release(spark)
     return sets, labels
 
