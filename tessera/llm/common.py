@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+#: Texts are long: what a Python worker and its task hold at a time stays small.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
     sc = spark.sparkContext
@@ -34,7 +38,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in SMALL_BATCHES}
+    try:
+        for k, v in SMALL_BATCHES.items():
+            spark.conf.set(k, v)
+        writer.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
