@@ -1,6 +1,6 @@
 """Frame operators on unbounded input: event-time windows, and keyed state for trackers and filters.
 
-Late rows are dropped behind the watermark; state of keys that fall silent times out, so it stays bounded.
+Late rows are dropped behind the watermark; state of keys that fall silent can time out, so that it stays bounded.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ def distinct_within(stream: DataFrame, t: str, ids: Sequence[str], late: str) ->
     return stream.withWatermark(t, late).dropDuplicatesWithinWatermark(list(ids))
 
 
-def keyed_fold(stream: DataFrame, key: str, order: str, step, state_schema: str, out: str, kind: str, idle_ms: int = 3_600_000) -> DataFrame:
+def keyed_fold(stream: DataFrame, key: str, order: str, step, state_schema: str, out: str, kind: str, idle_ms: int | None = None) -> DataFrame:
     """(key, order, out) with ``step(state tuple or None, row dict) -> (state tuple, value)`` over each key's rows.
 
-    Rows of a micro-batch are taken in order; the state persists between batches and goes ``idle_ms`` after the last.
+    Rows of a micro-batch are taken in order; the state persists between batches and, if ``idle_ms`` is set, goes
+    that long after a key's last row.
     """
     schema = stream.schema
     key_type, order_type = schema[key].dataType.simpleString(), schema[order].dataType.simpleString()
@@ -50,10 +51,11 @@ def keyed_fold(stream: DataFrame, key: str, order: str, step, state_schema: str,
             s, value = step(s, row)
             values.append(value)
         state.update(s)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), out: values})
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {order} {order_type}, {out} {kind}", state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {order} {order_type}, {out} {kind}", state_schema, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ema(stream: DataFrame, key: str, order: str, v: str, alpha: float) -> DataFrame:
