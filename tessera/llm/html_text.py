@@ -47,6 +47,7 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
+_LAYOUT = re.compile(r"(?:has|with|no|without|is|not)[-_]", re.I)  # says what a layout has beside it, not what an element is
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -70,7 +71,8 @@ def _furniture(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    return any(w in FURNITURE_WORDS for name in ("class", "id") for w in _WORD.findall(_CAMEL.sub(" ", attrs.get(name, "")).lower()))
+    names = [t for name in ("class", "id") for t in attrs.get(name, "").split() if not _LAYOUT.match(t)]
+    return any(w in FURNITURE_WORDS for t in names for w in _WORD.findall(_CAMEL.sub(" ", t).lower()))
 
 
 def parse(page: str) -> Node:
@@ -246,9 +248,6 @@ def extract(page: str, winner: str | None) -> str:
     return "\n".join(blocks_of(root))
 
 
-_HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
-
-
 def host_column(url):
     """The lower-case host of an address; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -112,6 +112,10 @@ def test_article_without_furniture():
     assert H.extract("<article><header><h1>T</h1><p>by me</p></header><p>text</p></article>", None) == "T\ntext"
 
 
+def test_layout_names_are_not_furniture():
+    assert H.extract("<div class='page has-sidebar'><div class='text'><p>kept</p></div><div class='sidebar'>gone</div></div>", None) == "kept"
+
+
 def test_broken_markup_does_not_crash():
     rng = random.Random(3)
     for _ in range(400):
