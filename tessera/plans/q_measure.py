@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import codes as C
 from tessera.functions import geometry as G
 from tessera.functions import pixel as P
+from tessera.functions import symbology as SY
 from tessera.operators import measure as M
 from tessera.plans.common import IMG, image_pairs, images, pixels, table
 from tessera.plans.registry import register
@@ -91,3 +92,9 @@ def _step(i: int) -> str:
 
 register("kmeans_fixed_init", lambda s, d: M.nearest_centre(_Q4(s, d), M.kmeans_steps(_Q4(s, d), [list(c) for c in _C0], 3)).select("img_id", "cluster"), f"WITH {IMG}, {_Q4S}, {_W}{_step(0)}{_step(1)}{_step(2)}{_step(3)} SELECT img_id, cluster FROM n3")
 register("voxel_downsample", lambda s, d: table(s, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).alias("vx"), F.floor((F.col("l_discount") + 0.0) * 50 + 1e-9).alias("vy"), F.floor((F.col("l_tax") + 0.0) * 50 + 1e-9).alias("vz")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("cx"), F.round(F.avg(F.col("l_discount") + 0.0), 6).alias("cy"), F.round(F.avg(F.col("l_tax") + 0.0), 6).alias("cz")), "SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS vx, CAST(floor((l_discount + 0.0) * 50 + 1e-9) AS BIGINT) AS vy, CAST(floor((l_tax + 0.0) * 50 + 1e-9) AS BIGINT) AS vz, count(*) AS n, round(avg(l_quantity), 6) AS cx, round(avg(l_discount + 0.0), 6) AS cy, round(avg(l_tax + 0.0), 6) AS cz FROM lineitem GROUP BY 1, 2, 3")
+
+
+# bar codes: written as modules and read back; the round trip must give the keys
+_BARS = lambda kind, n: lambda s, d: table(s, d, "orders").withColumn("k", _K(n)).withColumn("m", SY.encode(F.col("k"), kind)).select("o_orderkey", F.length("m").alias("modules"), F.substring(SY.read(F.col("m"), kind), 1, n).alias("text"))
+for _kind, _len, _size in (("code128", 8, "(8 + 2) * 11 + 13"), ("ean13", 12, "95"), ("itf", 10, "4 + 10 * 9 + 5")):
+    register(f"bars_{_kind}", _BARS(_kind, _len), f"SELECT o_orderkey, {_size} AS modules, lpad(CAST(o_orderkey AS VARCHAR), {_len}, '0') AS text FROM orders")
