@@ -11,8 +11,8 @@ documents together unless they are little else.
 3. The classes of an n-gram are dealt to tiles by size band (each band with the one above) and, where they are many,
    by block. Tiles without two classes go. In a tile, bit counts of the signatures bound the overlap of every pair
    from above; pairs that could reach t go to the exact intersection of their sorted arrays.
-4. Forest rounds come first: a tile names only enough pairs to join what could be linked, and blocks are not crossed,
-   so a large group of near copies costs about as many checks as it has members. Links found are contracted into
+4. Forest rounds come first: a tile names only enough pairs to join what could be linked, and blocks are not crossed;
+   the first takes two n-grams of each class. A large group of near copies costs about as many checks as it has members. Links found are contracted into
    components, and tiles that lie in one component are done.
 5. The last round is exact: every pair of a tile that lies in different components and could reach t is checked. The
    largest component of a tile stays in its blocks and all others visit each block.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_broadcast, drop, release, text_or_empty, written
 from tessera.llm.graph import components
 
-#: Frequent n-grams that the order knows, and the count within ``_COUNT_EVERY`` n-grams from which a task reports one.
+#: Frequent n-grams, and as many frequent words, that the order knows, and the count within ``_COUNT_EVERY`` words from which a task reports one.
 FREQUENT = 50_000
 _REPORT_FROM = 6
 _COUNT_EVERY = 1 << 20
@@ -74,19 +74,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_set(text: str, size: int) -> np.ndarray:
-    """The sorted distinct n-gram hashes (uint64) of a text: A-Z lower-cased, words split at ASCII white space. Fewer
-    than ``size`` words make one n-gram; none make none."""
+def word_hashes(text: str) -> np.ndarray:
+    """A-Z lower-cased, words split at ASCII white space."""
     w = text.encode().lower().split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), dtype=np.uint64, count=len(w))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, w), dtype=np.uint64, count=len(w))
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of ``size`` words; fewer words make one n-gram, none make none."""
+    if not len(words):
+        return words
     with np.errstate(over="ignore"):
-        k = min(size, len(w))
-        x = np.full(len(w) - k + 1, k, dtype=np.uint64)
+        k = min(size, len(words))
+        x = np.full(len(words) - k + 1, k, dtype=np.uint64)
         for j in range(k):
-            x = _mix(x * _M1 + h[j : len(w) - k + 1 + j])
-    return np.unique(x)
+            x = _mix(x * _M1 + words[j : len(words) - k + 1 + j])
+    return x
+
+
+def gram_set(text: str, size: int) -> np.ndarray:
+    """The sorted distinct n-gram hashes (uint64) of a text."""
+    return np.unique(gram_hashes(word_hashes(text), size))
 
 
 def set_key(grams: np.ndarray) -> bytes:
@@ -135,55 +143,68 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def gram_sets(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``sets(doc_id, n, key, k1, sig, xx)`` of all rows (key, k1 and sig null without words; ``xx`` a hash of the
-    text), and ``frequent(token, n)``."""
+    text), and ``frequent(kind, token, n)`` of n-grams (kind g) and words (kind w) that tasks meet often."""
     names = ["doc_id", "n", "key", "k1", "sig", "xx", "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        held: list[np.ndarray] = []
+        held: dict[bytes, list[np.ndarray]] = {b"g": [], b"w": []}
         count = 0
 
         def report():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= _REPORT_FROM
-            k = int(often.sum())
-            long, raw = pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
-            return pa.RecordBatch.from_arrays([long, pa.array(times[often].astype(np.int64)), raw, long, raw, long, pa.array(values[often].view(np.int64))], names)
+            for kind, parts in held.items():
+                values, times = np.unique(np.concatenate(parts), return_counts=True)
+                often = times >= _REPORT_FROM
+                k = int(often.sum())
+                long, raw = pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
+                yield pa.RecordBatch.from_arrays([long, pa.array(times[often].astype(np.int64)), raw, long, pa.array([kind] * k, pa.binary()), long, pa.array(values[often].view(np.int64))], names)
+                parts.clear()
 
         for batch in batches:
             ns, keys, sigs = [], [], []
             for _, t in _texts(batch, 1):
-                g = gram_set(t, rule.size)
+                words = word_hashes(t)
+                g = np.unique(gram_hashes(words, rule.size))
                 ns.append(len(g))
                 keys.append(set_key(g) if len(g) else None)
                 sigs.append(signature(g) if len(g) else None)
                 if len(g) and keys[-1] not in seen:
                     seen.add(keys[-1])
-                    held.append(g)
-                    count += len(g)
+                    held[b"g"].append(g)
+                    held[b"w"].append(words)
+                    count += len(words)
                     if count >= _COUNT_EVERY:
-                        yield report()
-                        held.clear()
+                        yield from report()
                         count = 0
             halves = [None if k is None else first_half(k) for k in keys]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.int64()), pa.array(sigs, pa.binary()), batch.column(2), pa.nulls(len(ns), pa.int64())], names)
-        if held:
-            yield report()
+        if held[b"g"]:
+            yield from report()
 
     both = written(_source(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, key binary, k1 bigint, sig binary, xx bigint, token bigint"), "sets")
-    sets, frequent = both.where("token is null").drop("token"), both.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    sets, frequent = both.where("token is null").drop("token"), both.where("token is not null").groupBy(F.col("sig").cast("string").alias("kind"), "token").agg(F.sum("n").alias("n"))
     sets._tessera_path = both._tessera_path
     return sets, frequent
 
 
-def leading_grams(docs: DataFrame, rule: Rule, order: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def leading_grams(docs: DataFrame, rule: Rule, order: np.ndarray, words: np.ndarray, counts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """``token, k1, n``: the leading n-grams of each class that a task meets, once per task. ``k1`` is the first half of
-    the class's key. ``order`` has the frequent n-grams, rarest first; all others come before them, by hash."""
-    known = np.argsort(order, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((order[known], known.astype(np.uint64) + np.uint64(1)))
+    the class's key. ``order`` has the frequent n-grams, rarest first; all others come before them. Of those, n-grams
+    with a word that is not among the frequent ``words`` come first, then by the count of their rarest word; then by
+    hash. Chance seldom repeats what holds a rare word."""
+    known, listed = np.argsort(order, kind="stable"), np.argsort(words, kind="stable")
+    steps = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int8) + 1
+    shared = docs.sparkSession.sparkContext.broadcast((order[known], known.astype(np.int64) + 1, words[listed], steps[listed]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = shared.value
+        values, ranks, common, steps = shared.value
+
+        def look_up(table, found, x, dtype):
+            if not len(table):
+                return np.zeros(len(x), dtype=dtype)
+            at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+            return np.where(table[at] == x, found[at], 0).astype(dtype)
+
         seen: set[bytes] = set()
         tokens, firsts, ns, held = [], [], [], 0
 
@@ -196,17 +217,19 @@ def leading_grams(docs: DataFrame, rule: Rule, order: np.ndarray, id_col: str, t
 
         for batch in batches:
             for _, t in _texts(batch, 1):
-                g = gram_set(t, rule.size)
+                w = word_hashes(t)
+                g, first = np.unique(gram_hashes(w, rule.size), return_index=True)
                 key = set_key(g)
                 if not len(g) or key in seen:
                     continue
                 seen.add(key)
                 lead = rule.prefix(len(g))
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, g), len(values) - 1)
-                    rank = np.where(values[at] == g, ranks[at], np.uint64(0))
-                    if rank.any():
-                        g = g[np.argsort(rank, kind="stable")]
+                step = look_up(common, steps, w, np.int8)
+                k = min(rule.size, len(w))
+                rarest = np.minimum.reduce([step[j : len(w) - k + 1 + j] for j in range(k)])[first]
+                rank = look_up(values, ranks, g, np.int64)
+                if rank.any() or rarest.any():
+                    g = g[np.lexsort((rarest, rank))]
                 tokens.append(g[:lead])
                 firsts.append(first_half(key))
                 ns.append(len(g))
@@ -262,12 +285,36 @@ def _tile_pairs(rows: DataFrame, rule: Rule, forest: bool) -> DataFrame:
     tile = ["token", "tile_band", "block"]
     placed = rows.select(*tile, "up", "n", "key", "comp", "sig").repartition(*tile).sortWithinPartitions(*tile, "key")
 
+    def few_pairs(up, n, keys, comps, sigs):
+        """As below, without arrays."""
+        comps, bits = list(comps), [(8 * len(s), int.from_bytes(s, "little")) for s in sigs]
+        out = []
+        for x in range(len(keys)):
+            for y in range(x + 1, len(keys)):
+                small, large = sorted((n[x], n[y]))
+                if comps[x] == comps[y] or up[x] + up[y] > 1 or rule.den * small < rule.num * large:
+                    continue
+                (p, a), (q, b) = sorted((bits[x], bits[y]))
+                while q > p:
+                    q //= 2
+                    b = (b ^ (b >> q)) & ((1 << q) - 1)
+                over2 = small + large - (a ^ b).bit_count()
+                if over2 > 0 and rule.den * over2 >= rule.num * (2 * (small + large) - over2):
+                    out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+                    if forest:
+                        old = comps[y]
+                        comps = [comps[x] if c == old else c for c in comps]
+        return out
+
     def pairs_of(up, n, keys, comps, sigs):
         out = []
-        if len(keys) < 2 or len(set(comps)) < 2 or not (up == 0).any():
+        if len(keys) < 2 or len(set(comps)) < 2 or min(up):
             return out
+        if len(keys) <= 6:
+            return few_pairs(up, n, keys, comps, sigs)
         words = _fold_all(sigs, min(len(s) for s in sigs))
         comp = np.unique([c.hex() for c in comps], return_inverse=True)[1]
+        up, n = np.array(up), np.array(n)
         for x in range(len(keys) - 1):
             y = np.arange(x + 1, len(keys))
             y = y[(up[x] + up[y] < 2) & (comp[y] != comp[x])]
@@ -288,7 +335,7 @@ def _tile_pairs(rows: DataFrame, rule: Rule, forest: bool) -> DataFrame:
 
         def close():
             cols = list(zip(*held, strict=True))
-            found = [p for p in pairs_of(np.array(cols[3]), np.array(cols[4]), *cols[5:]) if p not in sent]
+            found = [p for p in pairs_of(*cols[3:]) if p not in sent]
             if len(sent) > 200_000:
                 sent.clear()
             sent.update(found)
@@ -320,9 +367,11 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     """``sets`` of all rows and ``labels(node, comp)`` of the classes that are linked to others."""
     spark = docs.sparkSession
     sets, frequent = gram_sets(docs, rule, id_col, text_col)
-    top = frequent.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()  # at most FREQUENT rows; others are ordered by hash
-    order = np.array([r["token"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
-    leading = leading_grams(docs, rule, order, id_col, text_col)
+    tops = {}
+    for kind in "gw":  # at most FREQUENT rows each; the order of all others needs no table
+        top = frequent.where(F.col("kind") == kind).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", "n").toArrow()
+        tops[kind] = top.column(0).to_numpy().view(np.uint64)[::-1], top.column(1).to_numpy()[::-1]
+    leading = leading_grams(docs, rule, tops["g"][0], *tops["w"], id_col, text_col)
     mixed = leading.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("token")
     shared = leading.join(mixed, "token").distinct()
     edges = F.array(*(F.lit(int(e)) for e in rule.edges()))
@@ -347,6 +396,8 @@ def linked_classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
         if labels is not None:
             sizes = labels.join(labels.groupBy("comp").agg(F.count("*").alias("members")), "comp").withColumnRenamed("node", "key")
             rows = cand.join(sizes, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "members": F.coalesce("members", F.lit(1))})
+        if turn == 0:  # each class in the tiles of its two least n-grams by hash: near copies share them
+            rows = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("key").orderBy(F.xxhash64("token")))).where("_r <= 2").drop("_r")
         live = rows.groupBy(*tile).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.max(F.struct("members", "comp"))["comp"].alias("top")).where("lo <> hi").select(*tile, "m", "top")
         blocks = F.ceil(F.col("m") / TILE).cast("int")
         own = F.array(F.pmod(F.xxhash64("key", F.lit(turn)), blocks).cast("int"))
