@@ -21,11 +21,11 @@ def _poly(s, d):
 
 
 _V = "v AS (" + " UNION ALL ".join(f"SELECT p_partkey, {i} AS i, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM part" for i, (x, y) in enumerate(_PTS)) + "), e AS (SELECT a.p_partkey, a.i, a.x, a.y, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3 FROM v a JOIN v b ON a.p_partkey = b.p_partkey AND b.i = (a.i + 1) % 4 JOIN v c ON a.p_partkey = c.p_partkey AND c.i = (a.i + 2) % 4)"
-_p = F.col("poly")
-register("polygon_area", lambda s, d: _poly(s, d).select("p_partkey", F.round(G.area(_p), 6).alias("area"), F.round(G.perimeter(_p), 6).alias("perimeter"), F.round(G.signed_area(_p), 6).alias("signed")), f"WITH {_V} SELECT p_partkey, round(abs(sum(x * y2 - x2 * y)) / 2, 6) AS area, round(sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))), 6) AS perimeter, round(sum(x * y2 - x2 * y) / 2, 6) AS signed FROM e GROUP BY 1")
-register("polygon_centroid", lambda s, d: _poly(s, d).select("p_partkey", *(F.round(c, 6).alias(n) for c, n in zip(G.centroid(_p), ("cx", "cy"), strict=True))), f"WITH {_V} SELECT p_partkey, round(sum((x + x2) * (x * y2 - x2 * y)) / nullif(3 * sum(x * y2 - x2 * y), 0), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / nullif(3 * sum(x * y2 - x2 * y), 0), 6) AS cy FROM e GROUP BY 1")
-register("convexity", lambda s, d: _poly(s, d).select("p_partkey", G.is_convex(_p).alias("convex")), f"WITH {_V}, t AS (SELECT p_partkey, (x2 - x) * (y3 - y2) - (y2 - y) * (x3 - x2) AS z FROM e) SELECT p_partkey, NOT (bool_or(z > 0) AND bool_or(z < 0)) AS convex FROM t GROUP BY 1")
-register("point_in_polygon", lambda s, d: _poly(s, d).select("p_partkey", G.contains(_p, F.expr("p_partkey % 13"), F.expr("p_size % 12")).alias("side")), f"WITH {_V}, q AS (SELECT e.*, CAST(e.p_partkey % 13 AS DOUBLE) AS px, CAST(p_size % 12 AS DOUBLE) AS py FROM e JOIN part USING (p_partkey)) SELECT p_partkey, CASE WHEN bool_or((x2 - x) * (py - y) = (y2 - y) * (px - x) AND px BETWEEN least(x, x2) AND greatest(x, x2) AND py BETWEEN least(y, y2) AND greatest(y, y2)) THEN 0 WHEN sum(CASE WHEN (y > py) <> (y2 > py) AND px < (x2 - x) * (py - y) / nullif(y2 - y, 0) + x THEN 1 ELSE 0 END) % 2 = 1 THEN 1 ELSE -1 END AS side FROM q GROUP BY 1")
+_p = lambda: F.col("poly")
+register("polygon_area", lambda s, d: _poly(s, d).select("p_partkey", F.round(G.area(_p()), 6).alias("area"), F.round(G.perimeter(_p()), 6).alias("perimeter"), F.round(G.signed_area(_p()), 6).alias("signed")), f"WITH {_V} SELECT p_partkey, round(abs(sum(x * y2 - x2 * y)) / 2, 6) AS area, round(sum(sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y))), 6) AS perimeter, round(sum(x * y2 - x2 * y) / 2, 6) AS signed FROM e GROUP BY 1")
+register("polygon_centroid", lambda s, d: _poly(s, d).select("p_partkey", *(F.round(c, 6).alias(n) for c, n in zip(G.centroid(_p()), ("cx", "cy"), strict=True))), f"WITH {_V} SELECT p_partkey, round(sum((x + x2) * (x * y2 - x2 * y)) / nullif(3 * sum(x * y2 - x2 * y), 0), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / nullif(3 * sum(x * y2 - x2 * y), 0), 6) AS cy FROM e GROUP BY 1")
+register("convexity", lambda s, d: _poly(s, d).select("p_partkey", G.is_convex(_p()).alias("convex")), f"WITH {_V}, t AS (SELECT p_partkey, (x2 - x) * (y3 - y2) - (y2 - y) * (x3 - x2) AS z FROM e) SELECT p_partkey, NOT (bool_or(z > 0) AND bool_or(z < 0)) AS convex FROM t GROUP BY 1")
+register("point_in_polygon", lambda s, d: _poly(s, d).select("p_partkey", G.contains(_p(), F.expr("p_partkey % 13"), F.expr("p_size % 12")).alias("side")), f"WITH {_V}, q AS (SELECT e.*, CAST(e.p_partkey % 13 AS DOUBLE) AS px, CAST(p_size % 12 AS DOUBLE) AS py FROM e JOIN part USING (p_partkey)) SELECT p_partkey, CASE WHEN bool_or((x2 - x) * (py - y) = (y2 - y) * (px - x) AND px BETWEEN least(x, x2) AND greatest(x, x2) AND py BETWEEN least(y, y2) AND greatest(y, y2)) THEN 0 WHEN sum(CASE WHEN (y > py) <> (y2 > py) AND px < (x2 - x) * (py - y) / nullif(y2 - y, 0) + x THEN 1 ELSE 0 END) % 2 = 1 THEN 1 ELSE -1 END AS side FROM q GROUP BY 1")
 _SEG = ["p_partkey % 11", "p_size % 7", "p_partkey % 5 + 6", "p_size % 9 + 2", "p_partkey % 8", "p_size % 10", "p_partkey % 4 + 3", "p_size % 6 + 1"]
 _SG = "sign((CAST({2} AS DOUBLE) - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0}))"
 _IN = "({4} BETWEEN least({0}, {2}) AND greatest({0}, {2}) AND {5} BETWEEN least({1}, {3}) AND greatest({1}, {3}))"
