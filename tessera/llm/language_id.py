@@ -75,7 +75,10 @@ def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     out = []
     for lang in langs:
-        out += [(lang, r["text"]) for r in rows.where(F.col("lang") == lang).orderBy("h", "text").limit(TRAIN_DOCS).collect()]
+        own = rows.where(F.col("lang") == lang)
+        # hashes first: texts are fetched only of the rows that are taken
+        last = own.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+        out += [(lang, t) for t in sorted(r["text"] for r in own.where(F.col("h") <= last).dropDuplicates(["h"]).select("text").collect())]
     return out
 
 
