@@ -106,12 +106,12 @@ def first_half(key: bytes) -> int:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """Parity bitmap: a bit for each bucket, set if an odd number of n-grams fall in it; at least n / 2 bits, a power of 2.
+    """Parity bitmap: a bit for each bucket, set if an odd number of n-grams fall in it; at least n bits, a power of 2.
 
     Folding the halves of a bitmap by xor gives the next narrower one. Two sets differ in at least as many n-grams as
     their bitmaps differ in bits.
     """
-    bits = max(64, 1 << max(0, (len(grams) - 1) // 2).bit_length())
+    bits = max(64, 1 << max(0, len(grams) - 1).bit_length())
     parity = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -287,7 +287,7 @@ def _tile_pairs(rows: DataFrame, rule: Rule, forest: bool) -> DataFrame:
 
     def few_pairs(up, n, keys, comps, sigs):
         """As below, without arrays."""
-        comps, bits = list(comps), [(8 * len(s), int.from_bytes(s, "little")) for s in sigs]
+        bits = [(8 * len(s), int.from_bytes(s, "little")) for s in sigs]
         out = []
         for x in range(len(keys)):
             for y in range(x + 1, len(keys)):
@@ -298,12 +298,25 @@ def _tile_pairs(rows: DataFrame, rule: Rule, forest: bool) -> DataFrame:
                 while q > p:
                     q //= 2
                     b = (b ^ (b >> q)) & ((1 << q) - 1)
-                over2 = small + large - (a ^ b).bit_count()
+                differ = (a ^ b).bit_count()
+                over2 = small + large - differ
                 if over2 > 0 and rule.den * over2 >= rule.num * (2 * (small + large) - over2):
-                    out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
-                    if forest:
-                        old = comps[y]
-                        comps = [comps[x] if c == old else c for c in comps]
+                    out.append((differ, x, y))
+        return joined(out, comps, keys)
+
+    def joined(edges, comps, keys):
+        """The edges (differ, x, y) as pairs of keys; of a forest only those that join, the likeliest first."""
+        comps, left = list(comps), len(set(comps))
+        out = []
+        for _, x, y in sorted(edges) if forest else edges:
+            if forest:
+                if left == 1:
+                    break
+                if comps[x] == comps[y]:
+                    continue
+                old, left = comps[y], left - 1
+                comps = [comps[x] if c == old else c for c in comps]
+            out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
         return out
 
     def pairs_of(up, n, keys, comps, sigs):
@@ -322,12 +335,9 @@ def _tile_pairs(rows: DataFrame, rule: Rule, forest: bool) -> DataFrame:
             if not len(y):
                 continue
             differ = np.bitwise_count(words[y] ^ words[x]).sum(axis=1).astype(np.int64)
-            y = y[may_link(n[y], n[x], differ, rule)]
-            if forest and len(y):
-                y = y[np.unique(comp[y], return_index=True)[1]]
-                comp[np.isin(comp, comp[y])] = comp[x]
-            out += [(min(keys[x], keys[z]), max(keys[x], keys[z])) for z in y]
-        return out
+            ok = may_link(n[y], n[x], differ, rule)
+            out += [(d, x, z) for d, z in zip(differ[ok].tolist(), y[ok].tolist(), strict=True)]
+        return joined(out, comp.tolist(), keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
