@@ -22,7 +22,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Fitted on the labelled rows of the whole table: the stage before leaves next to none of label 0."""
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

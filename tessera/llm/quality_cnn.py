@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import drop, text_or_empty, written
 
 WIDTH = 6
 FILTERS = 24
@@ -163,16 +163,22 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_TRAIN_ROWS) -> list[tuple[str, int, float]]:
     """At most ``max_rows`` (text, label, weight), half of them of each class if there are as many, in the order of a
-    hash of the id. The weight restores each class's share of the labels."""
+    hash of the id. Only labels whose document is in ``docs`` count: the sample is taken from them, and the weight
+    restores each class's share of them."""
     half = max_rows // 2
     known = labels.select(F.col(labels.columns[0]).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
+    rows = docs.select(F.col(id_col).alias("_d"), text_or_empty(F.col(text_col)).alias("_text"))
+    short = F.octet_length("_text") <= MAX_TRAIN_BYTES
+    there = rows.where("_d is not null").groupBy("_d").agg(F.max(short).alias("_short"))
+    known = written(known.join(there, F.col("_d") == F.col("_id")).select("_id", "_y", "_short"), "labelled")
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    picked = [r for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(half).collect()]
+    fit_for = known.where("_short").select("_id", "_y")
+    picked = [r for y in (0, 1) for r in fit_for.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(half).collect()]
+    drop(known)
     if not picked:
         return []
-    chosen = docs.sparkSession.createDataFrame(picked, known.schema)  # at most max_rows
-    rows = docs.select(F.col(id_col).alias("_d"), text_or_empty(F.col(text_col)).alias("_text")).where(F.octet_length("_text") <= MAX_TRAIN_BYTES)
-    found = rows.join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_text", "_y").limit(4 * max_rows).collect()
+    chosen = docs.sparkSession.createDataFrame(picked, fit_for.schema)  # at most max_rows
+    found = rows.where(short).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_text", "_y").limit(4 * max_rows).collect()
     one = {r["_d"]: (r["_text"], r["_y"]) for r in sorted(found, key=lambda r: (r["_d"], r["_text"]))}
     number = {y: sum(v[1] == y for v in one.values()) for y in (0, 1)}
     return [(t, y, counts[y] / number[y]) for _, (t, y) in sorted(one.items())]
@@ -211,7 +217,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return fit([t for t, _, _ in sample], [y for _, y, _ in sample], [w for _, _, w in sample])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is ``cut`` or more, with all their columns."""
-    net = trained(docs, labels, id_col, text_col, label_col)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose score is ``cut`` or more, with all their columns. The network learns from the labelled
+    rows of ``learn_from``, which has the same columns; of ``docs`` if there is none."""
+    net = trained(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col)
     return with_score(docs, net, text_col, "_score").where(F.col("_score") >= cut).select(*docs.columns)

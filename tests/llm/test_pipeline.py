@@ -55,3 +55,18 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert CP.run(spark, sf_dir).select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/out-packing").select("doc_id").distinct().count()
+
+
+def test_classifier_learns_from_what_the_rules_reject(spark, tmp_path):
+    rng = random.Random(3)
+    vocab = [f"{a}{b}" for a in ("ri", "sto", "wa", "the", "and") for b in ("ver", "ne", "ter", "re", "")]
+    good = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = [(i, " ".join(good(100))) for i in range(80)]
+    rows += [(100 + i, " ".join(w.upper() + "!!" for w in good(80))) for i in range(40)]  # labelled bad, rejected by the rules
+    rows.append((300, " ".join(f"{w.upper()}{i}!!" for i, w in enumerate(good(80)))))  # bad, of rare words: the rules keep it
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(d < 100), 0) for d, _ in rows if d < 200], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    first = CP.rules_stage(spark, docs, str(tmp_path))
+    assert {d for d, _ in pairs(first)} == {*range(80), 300}
+    assert {d for d, _ in pairs(CP.classifier_stage(spark, first, str(tmp_path)))} == set(range(80))

@@ -110,3 +110,11 @@ def test_classifier_takes_awkward_rows(spark):
     assert N.quality_scores(no_docs(spark), labels).count() == 0
     assert N.keep_good(docs, labels).columns == docs.columns
     assert not math.isnan(N.fit([], []).score("x"))
+
+
+def test_sample_is_taken_from_labels_whose_document_is_there(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 400, 4)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(400)], "doc_id bigint, quality int")
+    rows = N.training_rows(docs, labels, "doc_id", "text", "quality", max_rows=40)
+    assert sorted(y for _, y, _ in rows) == [0] * 20 + [1] * 20
+    assert {w for _, _, w in rows} == {50 / 20}
