@@ -164,7 +164,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_TRAIN_ROWS) -> list[tuple[str, int, float]]:
     """At most ``max_rows`` (text, label, weight), half of them of each class if there are as many, in the order of a
     hash of the id. Only labels whose document is in ``docs`` count: the sample is taken from them, and the weight
-    restores each class's share of them."""
+    restores each class's share of them. Of rows that repeat an id, the least text stands for it."""
     half = max_rows // 2
     known = labels.select(F.col(labels.columns[0]).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
     rows = docs.select(F.col(id_col).alias("_d"), text_or_empty(F.col(text_col)).alias("_text"))
@@ -178,10 +178,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     if not picked:
         return []
     chosen = docs.sparkSession.createDataFrame(picked, fit_for.schema)  # at most max_rows
-    found = rows.where(short).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_d", "_text", "_y").limit(4 * max_rows).collect()
-    one = {r["_d"]: (r["_text"], r["_y"]) for r in sorted(found, key=lambda r: (r["_d"], r["_text"]))}
-    number = {y: sum(v[1] == y for v in one.values()) for y in (0, 1)}
-    return [(t, y, counts[y] / number[y]) for _, (t, y) in sorted(one.items())]
+    found = rows.where(short).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
+    number = {y: sum(r["_y"] == y for r in found) for y in (0, 1)}
+    return [(r["_text"], r["_y"], counts[r["_y"]] / number[r["_y"]]) for r in sorted(found, key=lambda r: r["_id"])]
 
 
 def with_score(docs: DataFrame, net: ByteCnn, text_col: str, name: str) -> DataFrame:

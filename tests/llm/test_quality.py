@@ -118,3 +118,11 @@ def test_sample_is_taken_from_labels_whose_document_is_there(spark):
     rows = N.training_rows(docs, labels, "doc_id", "text", "quality", max_rows=40)
     assert sorted(y for _, y, _ in rows) == [0] * 20 + [1] * 20
     assert {w for _, _, w in rows} == {50 / 20}
+
+
+def test_repeated_ids_do_not_crowd_out_a_class(spark):
+    rows = [(1, f"hot {i:03}") for i in range(300)] + [(i, f"text {i}") for i in range(2, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(1, 10)], "doc_id bigint, quality int")
+    got = N.training_rows(docs, labels, "doc_id", "text", "quality", max_rows=20)
+    assert [(t, y) for t, y, _ in got] == [("hot 000", 1), *((f"text {i}", int(i < 5)) for i in range(2, 10))]
