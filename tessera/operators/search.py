@@ -126,18 +126,32 @@ def hash_buckets(codes: DataFrame, bands: int, bits: int) -> DataFrame:
     return rows.withColumn("key", F.expr(f"shiftright(code, band * {bits}) & {mask}L"))
 
 
-def near_codes(codes: DataFrame, distance: int, code_bits: int = 64) -> DataFrame:
-    """(a, b, dist) of all pairs a < b of 64-bit codes within a Hamming distance: exact, as codes that differ in at
-    most ``distance`` bits agree in one of ``distance + 1`` bands. Equal codes are paired through their group's first
-    member only after the bands have been matched on distinct codes."""
+def _near_distinct(distinct: DataFrame, distance: int, code_bits: int) -> DataFrame:
+    """``near_codes`` of distinct codes."""
     bands = distance + 1
     width = -(-code_bits // bands)
-    distinct = codes.groupBy("code").agg(F.min("id").alias("id"))
     h = hash_buckets(distinct, bands, min(width, 62))
     p, q = h.select("band", "key", F.col("id").alias("a"), F.col("code").alias("ca")), h.select("band", "key", F.col("id").alias("b"), F.col("code").alias("cb"))
     dist = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
-    pairs = p.join(q, ["band", "key"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= distance).select("a", "b", "dist").distinct()
-    return pairs
+    return p.join(q, ["band", "key"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= distance).select("a", "b", "dist").distinct()
+
+
+def near_codes(codes: DataFrame, distance: int, code_bits: int = 64) -> DataFrame:
+    """(a, b, dist) of pairs a < b of 64-bit codes within a Hamming distance: exact, as codes that differ in at most
+    ``distance`` bits agree in one of ``distance + 1`` bands. Of the rows of one code the first, by id, stands for all
+    in the pairs with other codes; each other row has a pair with it, at distance 0."""
+    distinct = codes.groupBy("code").agg(F.min("id").alias("id"))
+    copies = codes.join(distinct.withColumnRenamed("id", "a"), "code").where("id > a").select("a", F.col("id").alias("b"), F.lit(0).alias("dist")).distinct()
+    return _near_distinct(distinct, distance, code_bits).unionByName(copies)
+
+
+def near_groups(codes: DataFrame, distance: int, code_bits: int = 64) -> DataFrame:
+    """(id, group_id) of every row of ``codes(id, code)``: the smallest id that is reachable over codes within a Hamming
+    distance of each other. Groups are found of distinct codes and joined back, so copies make no edges."""
+    distinct = codes.groupBy("code").agg(F.min("id").alias("id"))
+    groups = groups_of(_near_distinct(distinct, distance, code_bits), distinct)
+    of = distinct.join(groups, "id").select("code", "group_id")
+    return codes.join(of, "code").select("id", "group_id").distinct()
 
 
 def lsh_knn(queries: DataFrame, base: DataFrame, k: int, bands: int, bits: int) -> DataFrame:

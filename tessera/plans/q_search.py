@@ -84,7 +84,7 @@ _AH = lambda s, d: images(s, d).withColumn("total", F.aggregate("img", F.lit(0),
 _AHS = f"{IMG}, h AS (SELECT img_id AS id, string_agg(CASE WHEN 64 * v > t THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM (SELECT *, sum(v) OVER (PARTITION BY img_id) AS t FROM img) z GROUP BY img_id)"
 register("ahash", lambda s, d: _AH(s, d).select("id", F.lpad(F.bin("code"), 64, "0").alias("bits")), f"WITH {_AHS} SELECT id, bits FROM h")
 register("ahash_pairs", lambda s, d: S.near_codes(_AH(s, d), 12), f"WITH {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits) SELECT a.id AS a, b.id AS b, CAST(hamming(a.bits, b.bits) AS INT) AS dist FROM u a JOIN u b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 12")
-register("dup_groups", lambda s, d: S.groups_of(S.near_codes(_AH(s, d), 18), _AH(s, d).groupBy("code").agg(F.min("id").alias("id"))), f"WITH RECURSIVE {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits), e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND hamming(a.bits, b.bits) <= 18), r AS (SELECT id, id AS g FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id) SELECT id, min(g) AS group_id FROM r GROUP BY id")
+register("dup_groups", lambda s, d: S.near_groups(_AH(s, d), 18), f"WITH RECURSIVE {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits), e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND hamming(a.bits, b.bits) <= 18), r AS (SELECT id, id AS g FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id) SELECT id, min(g) AS group_id FROM r GROUP BY id")
 register("lsh_knn", lambda s, d: S.lsh_knn(_AH(s, d).where("id % 20 = 0"), _AH(s, d), 3, 8, 8), f"WITH {_AHS}, k AS (SELECT id, bits, CAST(b.range AS INT) AS band, substr(bits, CAST(1 + 8 * b.range AS BIGINT), 8) AS key FROM h, range(8) b), c AS (SELECT DISTINCT q.id AS query_id, b.id AS nbr_id, CAST(hamming(q.bits, b.bits) AS INT) AS dist FROM k q JOIN k b ON q.band = b.band AND q.key = b.key WHERE q.id % 20 = 0 AND q.id <> b.id) SELECT query_id, CAST(rank AS INT) AS rank, nbr_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, nbr_id) AS rank FROM c) t WHERE rank <= 3")
 register("dhash", lambda s, d: images(s, d).select(F.col("img_id").alias("id"), F.lpad(F.bin(S.bits_of(F.col("img"), lambda v, i: F.coalesce(v < F.get("img", i + 1), F.lit(False)) & (i % 8 < 7))), 64, "0").alias("bits")), f"WITH {IMG} SELECT img_id AS id, string_agg(CASE WHEN x < 7 AND v < nxt THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM (SELECT *, lead(v) OVER (PARTITION BY img_id ORDER BY y, x) AS nxt FROM img) z GROUP BY img_id")
 register("mhash", lambda s, d: images(s, d).withColumn("mid", F.get(F.array_sort("img"), 32)).select(F.col("img_id").alias("id"), F.lpad(F.bin(S.bits_of(F.col("img"), lambda v, i: v > F.col("mid"))), 64, "0").alias("bits")), f"WITH {IMG}, m AS (SELECT img_id, list_sort(list(v))[33] AS mid FROM img GROUP BY 1) SELECT img_id AS id, string_agg(CASE WHEN v > mid THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM img JOIN m USING (img_id) GROUP BY img_id")
