@@ -83,11 +83,11 @@ def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "la
 
 
 def declared_language(page: Column) -> Column:
-    """The primary language that the html element or a meta element declares, lower case; empty if none."""
-    head = F.lower(F.substring(page, 1, 1 << 16))
-    tag = F.regexp_extract(head, r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
-    meta = F.regexp_extract(head, r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b", 1)
-    return F.when(tag != "", tag).otherwise(meta)
+    """The primary language that the html element or a meta element declares, lower case; empty if none. The whole
+    page is searched."""
+    tag = F.regexp_extract(page, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    meta = F.regexp_extract(page, r"(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b", 1)
+    return F.lower(F.when(tag != "", tag).otherwise(meta))
 
 
 def domain_column(host: Column) -> Column:

@@ -183,3 +183,11 @@ def test_fusion_matches_brute_force(spark):
         post = ll[i] + np.log(prior) + np.log(smooth("suffix", i, share, L.ALPHA) / share) + np.log(smooth("declared", i, share, L.ALPHA) / share)
         p = np.exp(post - post.max())
         assert r.probability == pytest.approx((p / p.sum()).max(), abs=1e-9) and r.lang == model.langs[post.argmax()]
+
+
+def test_language_declared_after_a_long_start_of_the_page(spark):
+    fill = "x" * 70_000
+    rows = [(1, f"<!-- {fill} --><HTML LANG='DE-at'><p>a</p>"), (2, f"<html><style>{fill}</style><META http-equiv=Content-Language content=FR>"), (3, f"<html>{fill}")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string")
+    got = {r.page_id: r.d for r in pages.select("page_id", L.declared_language(pages.html).alias("d")).collect()}
+    assert got == {1: "de", 2: "fr", 3: ""}
