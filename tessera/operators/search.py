@@ -126,11 +126,17 @@ def hash_buckets(codes: DataFrame, bands: int, bits: int) -> DataFrame:
     return rows.withColumn("key", F.expr(f"shiftright(code, band * {bits}) & {mask}L"))
 
 
+def band_keys(codes: DataFrame, bands: int, code_bits: int) -> DataFrame:
+    """``codes(id, code)`` in one row per band: (id, code, band, key). The bands are disjoint and cover all bits; widths
+    differ by one at most, and a band without bits (more bands than bits) has key 0."""
+    cuts = [code_bits * i // bands for i in range(bands + 1)]
+    keys = [F.shiftrightunsigned(F.shiftleft("code", 64 - hi), 64 - hi + lo) if hi > lo else F.lit(0).cast("bigint") for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return codes.select("id", "code", F.posexplode(F.array(*keys)).alias("band", "key"))
+
+
 def _near_distinct(distinct: DataFrame, distance: int, code_bits: int) -> DataFrame:
     """``near_codes`` of distinct codes."""
-    bands = distance + 1
-    width = -(-code_bits // bands)
-    h = hash_buckets(distinct, bands, min(width, 62))
+    h = band_keys(distinct, distance + 1, code_bits)
     p, q = h.select("band", "key", F.col("id").alias("a"), F.col("code").alias("ca")), h.select("band", "key", F.col("id").alias("b"), F.col("code").alias("cb"))
     dist = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
     return p.join(q, ["band", "key"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= distance).select("a", "b", "dist").distinct()

@@ -8,3 +8,17 @@ def test_copies_of_a_code_have_pairs_and_groups(spark):
     codes = spark.createDataFrame(rows, "id bigint, code bigint")
     assert sorted(map(tuple, S.near_codes(codes, 2).collect())) == [(1, 3, 1), (1, 8, 0), (2, 6, 0), (3, 4, 0), (3, 9, 0)]
     assert sorted(map(tuple, S.near_groups(codes, 2).collect())) == [(1, 1), (2, 2), (3, 1), (4, 1), (6, 2), (8, 1), (9, 1)]
+
+
+def test_pairs_that_differ_in_every_nibble_are_found(spark):
+    for distance, code in ((16, 0x1111111111111111), (18, 0x1111111111111133), (18, 0x7111111111111111), (0, 1), (63, (1 << 63) - 1), (64, -1)):
+        codes = spark.createDataFrame([(1, 0), (2, code)], "id bigint, code bigint")
+        bits = (code % (1 << 64)).bit_count()
+        want = [(1, 2, bits)] if bits <= distance else []
+        assert [tuple(r) for r in S.near_codes(codes, distance).collect()] == want
+
+
+def test_bands_are_disjoint_and_cover_the_code(spark):
+    codes = spark.createDataFrame([(i, (1 << i) - (1 << 64) * (i == 63)) for i in range(64)], "id bigint, code bigint")
+    for bands in (1, 13, 19, 64, 65):
+        assert S.band_keys(codes, bands, 64).where("key <> 0").count() == 64
