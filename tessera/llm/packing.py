@@ -31,67 +31,103 @@ from tessera.llm.common import drop, text_or_empty, written
 WINDOW = 4096
 UNITS = 64
 DEPTH = 4
-CACHE_ENTRIES = 1_200_000
+#: Bytes of words and ids that a task keeps.
+CACHE_BYTES = 96 << 20
 _BATCH_BYTES = 1 << 20
 _TAIL_MARKS = re.compile(rb"(?<=[a-z])([.,!]+)(?=[ \n])")
+#: What an entry of the cache takes besides its word and ids: two objects and a place in a table.
+_ENTRY_BYTES = 160
+#: Letters that no normal form and no other version of Unicode changes, and marks that may follow them.
+_LETTERS = re.compile("[a-zà-öø-ɏ]+")
+_MARKS = ".,!?;:&#*%$)"
+_PROBES = ("ab", "été", "straße", "ciónueganderheitly", "šž", "x")
 _CODERS: dict[int, WordCoder] = {}
 
 
 class WordCoder:
     """Ids of whole texts by a lower-casing tokenizer of the public ``tokenizers`` library that drops white space.
 
-    Such a tokenizer treats what white space separates on its own, so words are encoded once and kept; the table of
-    words is bounded and lives as long as the worker.
+    Such a tokenizer treats what white space separates on its own, so words are encoded once and kept. Words live in
+    two generations of at most ``cache_bytes`` together: when the young one is full it becomes the old one, and what
+    is used again moves back. A tokenizer of another kind is refused.
     """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, cache_bytes: int = CACHE_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        probe = self.tok.encode(" Ab\n\t ab  ", add_special_tokens=False).ids
+        if probe != 2 * self.tok.encode("ab", add_special_tokens=False).ids:
+            raise ValueError("packing takes tokenizers that lower-case and drop white space")
+        model = json.loads(spec)["model"]
         vocab = self.tok.get_vocab()
         self.wide = max(vocab.values()) >= 1 << 16
+        self.kind = "I" if self.wide else "H"
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        if suffix:
-            self.ends[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
+        # byte-level models see a character for each byte: those of Latin-1 that print, and others for the rest
+        rest = iter(range(256, 512))
+        self.chars = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else next(rest) for b in range(256)}
+        self.direct = model["type"] == "BPE" and "ByteLevel" in json.dumps(json.loads(spec).get("pre_tokenizer")) and all(
+            self._letters(w) == self.tok.encode(w, add_special_tokens=False).ids for w in _PROBES
+        )
+        self.half = cache_bytes // 2
+        self.forget()
+
+    def forget(self) -> None:
+        """Give the cache back."""
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a word that is one pre-token."""
+        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]
 
     def _learn(self, fresh: list[bytes]) -> None:
-        plain, other = [], []
+        young, old, other, held = self.young, self.old, [], 0
         for w, s in zip(fresh, b" ".join(fresh).decode().split(" "), strict=True):
-            (plain if s.isalpha() and s == s.lower() else other).append((w, s))
-        ids = np.array(self.tok.encode_batch_fast([" ".join(s for _, s in plain)], add_special_tokens=False)[0].ids if plain else [], dtype=self.dtype)
-        ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
-        if len(ends) == len(plain):  # a word of letters is one pre-token, which one end-of-word token closes
-            raw, at, size = ids.tobytes(), 0, self.dtype.itemsize
-            for (w, _), end in zip(plain, ends, strict=True):
-                self.known[w] = raw[at * size : int(end) * size]
-                at = int(end)
-        else:
-            other += plain
+            if (ids := old.get(w)) is None:
+                stem = s.rstrip(_MARKS)
+                if not self.direct or not _LETTERS.fullmatch(stem) or stem != stem.lower():
+                    other.append((w, s))
+                    continue
+                ids = array.array(self.kind, self._letters(stem)).tobytes()
+                if len(stem) < len(s):  # letters, then marks: two pre-tokens
+                    ids += self._marks(s[len(stem) :])
+            young[w] = ids
+            held += len(w) + len(ids) + _ENTRY_BYTES
         for (w, _), e in zip(other, self.tok.encode_batch_fast([s for _, s in other], add_special_tokens=False), strict=True):
-            self.known[w] = array.array("I" if self.wide else "H", e.ids).tobytes()
+            young[w] = ids = array.array(self.kind, e.ids).tobytes()
+            held += len(w) + len(ids) + _ENTRY_BYTES
+        self.held += held
+
+    def _marks(self, marks: str) -> bytes:
+        key = marks.encode()
+        ids = self.young.get(key) or self.old.get(key)
+        if ids is None:
+            ids = array.array(self.kind, self.tok.encode(marks, add_special_tokens=False).ids).tobytes()
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        if self.held > self.half:
+            self.young, self.old, self.held = {}, self.young, 0
         split = []
         for t in texts:
             b = t.encode()
             if b"<|" not in b:  # special tokens are told apart by case; elsewhere A-Z may be lowered first
                 b = _TAIL_MARKS.sub(rb" \1", b.lower())
             split.append(b.split())
-        fresh = set().union(*split).difference(self.known)
+        fresh = set().union(*split).difference(self.young)
         if fresh:
             self._learn(list(fresh))
-        get = self.known.__getitem__
+        get = self.young.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
 
 def _coder(spec: str) -> WordCoder:
+    """The worker's tokenizer; its cache is empty, as every task gives it back."""
     key = hash(spec)
     if key not in _CODERS:
         import os
@@ -113,27 +149,31 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, window: int, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, ranks = TaskContext.get().partitionId(), [0] * (UNITS + 1)
-        for batch in batches:
-            coder, first = _coder(spec.value), 0
-            size, end = coder.dtype.itemsize, np.array([end_id], dtype=coder.dtype).tobytes()
-            while first < batch.num_rows:
-                texts, held, at = [], 0, first
-                while at < batch.num_rows and (held < _BATCH_BYTES or not texts):
-                    texts.append(batch.column(1)[at].as_py())
-                    held += len(texts[-1])
-                    at += 1
-                cols: list[list] = [[] for _ in names]
-                for doc, ids in zip(batch.column(0).slice(first, at - first).to_pylist(), coder.encode(texts), strict=True):
-                    ids += end
-                    total = len(ids) // size
-                    for start in range(0, total, window):
-                        length = min(window, total - start)
-                        b = length // unit
-                        for c, v in zip(cols, (pid, b, ranks[b], doc, start, length, total, ids[start * size : (start + length) * size]), strict=True):
-                            c.append(v)
-                        ranks[b] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-                first = at
+        coder = _coder(spec.value)
+        size, end = coder.dtype.itemsize, np.array([end_id], dtype=coder.dtype).tobytes()
+        try:
+            for batch in batches:
+                first = 0
+                while first < batch.num_rows:
+                    texts, held, at = [], 0, first
+                    while at < batch.num_rows and (held < _BATCH_BYTES or not texts):
+                        texts.append(batch.column(1)[at].as_py())
+                        held += len(texts[-1])
+                        at += 1
+                    cols: list[list] = [[] for _ in names]
+                    for doc, ids in zip(batch.column(0).slice(first, at - first).to_pylist(), coder.encode(texts), strict=True):
+                        ids += end
+                        total = len(ids) // size
+                        for start in range(0, total, window):
+                            length = min(window, total - start)
+                            b = length // unit
+                            for c, v in zip(cols, (pid, b, ranks[b], doc, start, length, total, ids[start * size : (start + length) * size]), strict=True):
+                                c.append(v)
+                            ranks[b] += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                    first = at
+        finally:
+            coder.forget()
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     return written(src.mapInArrow(run, "pid int, bin int, ord bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"), "pieces")

@@ -104,3 +104,22 @@ def test_packing_takes_awkward_rows(spark):
     assert sum(r.length for r in packed) == total
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
     assert P.with_crc32(P.pack(no_docs(spark), WORD)).count() == 0
+
+
+def test_words_are_the_same_with_a_small_cache_and_it_is_given_back():
+    rng = random.Random(4)
+    coder = P.WordCoder(open(WORD, encoding="utf-8").read(), cache_bytes=4000)
+    assert coder.direct
+    letters = "abcdeéßüñçœšžÀÉŒİıſªǅʼnɐ日本"
+    for _ in range(40):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "!?", "&&&", "'s", "’", "…", "9", ").", "́"]) for _ in range(60)]
+        texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(5)] + ["<|endoftext|> A", ""]
+        got = [np.frombuffer(x, dtype=coder.dtype).tolist() for x in coder.encode(texts)]
+        assert got == [WLIB.encode(t, add_special_tokens=False).ids for t in texts]
+    coder.forget()
+    assert not coder.young and not coder.old
+
+
+def test_packing_refuses_tokenizers_that_keep_case_or_space():
+    with pytest.raises(ValueError):
+        P.WordCoder(open(BYTE, encoding="utf-8").read())
