@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, text_or_empty, written
+from tessera.llm.common import drop, rows_of, text_or_empty, written
 
 BLOCK_BYTES = 1024
 _BATCH_BYTES = 4 << 20
@@ -180,11 +180,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns, whatever their names."""
+    ids = block_identities(docs, id_col, text_col)
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "sha", (F.col("mult") > 1).alias("again"))
+    kept = ids.groupBy("n_blocks", "name").agg(F.max(place).alias("top")).select("top.doc_id", F.col("top.sha").alias("hash"), "top.again")
+    kept = written(kept, "kept")
+    drop(ids)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    marked = docs.withColumn("_sha0", F.sha2(F.translate(text_or_empty(F.col(text_col)), upper, upper.lower()), 256))
-    same = marked[id_col].eqNullSafe(kept["_keep"]) & (marked["_sha0"] == kept["_sha"])
-    # repeated rows, equal in id and text, are one candidate each
-    once = Window.partitionBy(id_col, "_sha0").orderBy(F.lit(1))
-    return marked.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
+    sha = F.unhex(F.sha2(F.translate(text_or_empty(F.col(text_col)), upper, upper.lower()).cast("binary"), 256))
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), sha.alias("hash"))
+    return rows_of(src, kept)

@@ -55,3 +55,9 @@ def test_names_are_dense_and_ordered(spark):
     df = spark.createDataFrame([(i, (i * 7) % 13) for i in range(500)], "doc_id bigint, k bigint")
     rows = E.dense_names(df, ["k"], ["doc_id"], ["doc_id", "k"], "test").collect()
     assert all(r.name == r.k for r in rows) and len(rows) == 500
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    rows = [(1, "a b", 78, "x", "r"), (2, "A B", 79, "y", "r"), (3, "c", 80, None, "r"), (3, "c", 80, None, "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _n bigint, _sha0 string, row string")
+    assert sorted(map(tuple, E.drop_exact_duplicates(docs).collect())) == rows[1:3]

@@ -86,7 +86,10 @@ def test_linked_sizes_are_in_neighbouring_bands():
         band = lambda n: np.searchsorted(e, n, side="right") - 1  # noqa: B023, E731
         for n in range(1, 2000):
             assert band(rule.den * n // rule.num) - band(n) <= 1
-            assert 1 <= rule.prefix(n) <= n
+            b = band(n)
+            large = rule.den * n // rule.num
+            differ = max(n + m - 2 * -(-rule.num * (n + m) // (rule.den + rule.num)) for m in range(n, large + 1))
+            assert differ <= rule.most_different(e[b], e[b + 1])
 
 
 def test_components_of_random_graphs(spark):
@@ -106,3 +109,44 @@ def test_components_of_random_graphs(spark):
         want = {i: root(i) for e in edges for i in e if e[0] != e[1]}
         found = graph.components(spark.createDataFrame(edges, "a bigint, b bigint"))
         assert {r.node: r.comp for r in found.collect()} == want
+
+
+def test_linked_sets_share_a_token():
+    rng = np.random.default_rng(5)
+    for rule in (J.Rule(3, 90, 100), J.Rule(5, 80, 100)):
+        for n in (4, 5, 9, 10, 19, 20, 40, 75, 200, 900):
+            for _ in range(40):
+                a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+                gone, new = (rng.integers(0, max(1, n // 8) + 1) for _ in range(2))
+                b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 64, new, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if not np.array_equal(a, b) and rule.den * both >= rule.num * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(J.set_tokens(a, rule), J.set_tokens(b, rule)))
+
+
+def test_tokens_of_few_and_of_many_classes_meet():
+    rng = np.random.default_rng(2)
+    shift = 58
+    tokens = rng.integers(0, 1 << 64, 50, dtype=np.uint64)
+    held = {int(t): {int(k) for k in rng.integers(0, 1 << 48, rng.choice([1, 2, 3, 15, 16, 40]))} for t in tokens}
+    rows = [(t, k) for t, ks in held.items() for k in ks]
+    rng.shuffle(rows)
+    blobs, tiles = {}, {}
+    for part in (rows[::3] + rows[:20], rows[1::3], rows[2::3]):  # three tasks, rows sent twice
+        t, k = (np.array(c, dtype=np.uint64) for c in zip(*part, strict=True))
+        for bucket, raw, past in J.pack_tokens(t, k, shift):
+            if past:
+                for tile, k1 in np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2).tolist():
+                    tiles.setdefault(tile, set()).add(k1)
+            else:
+                blobs.setdefault(bucket, []).append(raw)
+    for bucket, raw in blobs.items():
+        for tile, k1 in zip(*(x.tolist() for x in J.shared_tokens(bucket, raw)), strict=True):
+            tiles.setdefault(tile, set()).add(k1)
+    assert sorted(map(sorted, tiles.values())) == sorted(sorted(ks) for ks in held.values() if len(ks) > 1)
+
+
+def test_columns_of_any_name_come_back_unchanged(spark):
+    rows = [(1, "a b c d", 7, 8, "h"), (2, "a b c d", 9, 8, "i"), (3, "e f g h", 7, 8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _xx bigint, _n bigint, hash string")
+    assert sorted(map(tuple, J.drop_near_duplicates(docs, J.Rule()).collect())) == [rows[0], rows[2]]
