@@ -13,16 +13,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_broadcast, text_or_empty, written
 
-#: Hosts up to which winning paths are broadcast.
-BROADCAST_HOSTS = 200_000
+#: Labels that a path spells out.
+PATH_LABELS = 32
 
 # Names of the HTML standard, and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,13 +40,24 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond reviews share sharing social related recommended recommendations newsletter subscribe signup login "
     "search pagination pager toolbar skip tracking".split()
 )
+PARTS = frozenset(
+    "area bar block body bottom box btn button buttons center column container content count desktop entry fixed form global group holder icon icons inner item items "
+    "label large left line link links list main mobile module outer page panel primary region right row secondary section site slot small sticky stories strip tab tabs "
+    "thread top unit wrap wrapper zone post posts articles author".split()
+)
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTAINER = frozenset("article main section div td body html blockquote ol ul dl table tbody tr li details figure center".split())
+WITHIN = frozenset("li ol ul tr td tbody table blockquote dl figure details center".split())
 CLOSES_P = BLOCK - {"li", "dt", "dd", "option", "optgroup", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption", "html", "body"}
 SELF_NESTING_END = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# As in the HTML standard: a quote opens a value only right after "=", and ">" ends a tag outside quoted values.
+_VALUE = r"\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>][^\s>]*+)|"
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:{_VALUE}))?+")
+_INSIDE = re.sub(r"(?<!\\)\((?!\?)", "(?:", rf"(?:[\s/]++|{_ATTR.pattern})*+")
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*+)({_INSIDE})(?:>|\Z)", re.S)
+_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 _LAYOUT = re.compile(r"(?:has|with|no|without|is|not)[-_]", re.I)  # says what a layout has beside it, not what an element is
@@ -54,14 +67,29 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: ``kids`` are nodes and pieces of raw text, in order."""
 
-    __slots__ = ("tag", "kids", "parent", "label", "drop")
+    __slots__ = ("tag", "kids", "parent", "label", "drop", "key")
 
     def __init__(self, tag: str, parent: Node | None, label: str, drop: bool) -> None:
         self.tag, self.parent, self.label, self.drop, self.kids = tag, parent, label, drop, []
+        self.key = xxhash.xxh3_64_intdigest(label, seed=parent.key) if parent else 0
+
+    @property
+    def path(self) -> str:
+        """The generalised path: labels from the root on; of a deeper element the last ones, after a hash of the others."""
+        parts, node = [], self
+        while node.parent is not None and len(parts) < PATH_LABELS:
+            parts.append(node.label)
+            node = node.parent
+        if node.parent is not None:
+            parts.append(f"#{node.key:016x}")
+        return "/".join(reversed(parts))
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
 
 def _furniture(tag: str, attrs: dict[str, str]) -> bool:
@@ -72,13 +100,30 @@ def _furniture(tag: str, attrs: dict[str, str]) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
     names = [t for name in ("class", "id") for t in attrs.get(name, "").split() if not _LAYOUT.match(t)]
-    return any(w in FURNITURE_WORDS for t in names for w in _WORD.findall(_CAMEL.sub(" ", t).lower()))
+    return any(_furniture_name(_WORD.findall(_CAMEL.sub(" ", t).lower())) for t in names)
+
+
+def _furniture_name(words: list[str]) -> bool:
+    """Whether a name says that an element is furniture: its last word does, or its first one does and the others only
+    say which part. In ``header-text`` or ``ad-hoc-note`` the first word describes something else."""
+    if not words:
+        return False
+    return words[-1] in FURNITURE_WORDS or (words[0] in FURNITURE_WORDS and all(w in PARTS or w in FURNITURE_WORDS for w in words[1:]))
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Unclosed and misnested elements are closed where the standard's implied ends close them."""
     root = Node("", None, "", False)
     at, cur = 0, root
+    opened: Counter[str] = Counter()
+
+    def leave(node: Node) -> None:
+        """Close the open elements down to ``node``."""
+        nonlocal cur
+        while cur is not node.parent:
+            opened[cur.tag] -= 1
+            cur = cur.parent
+
     while at < len(page):
         m = _MARKUP.search(page, at)
         if not m:
@@ -91,53 +136,50 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            top = cur
-            while top is not root and top.tag != tag:
-                top = top.parent
-            if top is not root:
-                cur = top.parent
+            if opened[tag]:
+                top = cur
+                while top.tag != tag:
+                    top = top.parent
+                leave(top)
             continue
-        if tag in CLOSES_P:  # an open paragraph ends here, if nothing but inline elements is open in it
+        if tag in CLOSES_P and opened["p"]:  # an open paragraph ends here, if nothing but inline elements is open in it
             top = cur
             while top is not root and top.tag not in BLOCK:
                 top = top.parent
             if top.tag == "p":
-                cur = top.parent
+                leave(top)
         if tag in SELF_NESTING_END:
-            top = cur
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            while top is not root and top.tag not in same and top.tag not in SELF_NESTING_END[tag]:
-                top = top.parent
-            if top.tag in same:
-                cur = top.parent
+            if any(opened[t] for t in same):
+                top = cur
+                while top is not root and top.tag not in same and top.tag not in SELF_NESTING_END[tag]:
+                    top = top.parent
+                if top.tag in same:
+                    leave(top)
         attrs = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
         mark = "." + ".".join(sorted(_DIGITS.sub("#", c) for c in attrs["class"].split())) if attrs.get("class", "").strip() else ""
         node = Node(tag, cur, tag + mark, _furniture(tag, attrs))
         cur.kids.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I | re.S).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             if tag not in ("script", "style"):
                 node.kids.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
+        elif tag not in VOID and not _CLOSED.search(m[3] or ""):
             cur = node
+            opened[tag] += 1
     return root
 
 
-def path_of(node: Node) -> str:
-    parts = []
-    while node.parent is not None:
-        parts.append(node.label)
-        node = node.parent
-    return "/".join(reversed(parts))
-
-
-def _heading_only(node: Node) -> list[Node]:
-    """The headings of an article's own header: they belong to the article."""
-    found: list[Node] = []
-    for k in node.kids:
-        if isinstance(k, Node):
-            found += [k] if k.tag in ("h1", "h2", "h3") else _heading_only(k)
+def _headings(node: Node) -> list[Node]:
+    """The headings of an article's own header, in order: they belong to the article."""
+    found, stack = [], [node]
+    while stack:
+        cur = stack.pop()
+        if cur.tag in ("h1", "h2", "h3"):
+            found.append(cur)
+        else:
+            stack.extend(k for k in reversed(cur.kids) if isinstance(k, Node))
     return found
 
 
@@ -171,8 +213,7 @@ def blocks_of(node: Node) -> list[str]:
                 stack.append((k, 0, k.tag in BLOCK))
             elif k.tag == "header" and cur.tag in ("article", "main"):
                 close()
-                for h in _heading_only(k):
-                    stack.append((h, 0, True))
+                stack.extend((h, 0, True) for h in reversed(_headings(k)))
             elif k.tag in BLOCK:
                 close()
         elif block:
@@ -200,27 +241,22 @@ def score_containers(root: Node) -> list[tuple[str, float]]:
                     stack.append((k, l or k.tag == "a"))
         return total, links
 
-    stack = [root]
+    names: dict[str, Node] = {}
+    stack = [(root, root)]
     while stack:
-        cur = stack.pop()
-        for k in cur.kids:
-            if isinstance(k, Node) and not k.drop:
-                stack.append(k)
+        cur, up = stack.pop()  # the text of a list or table counts for what holds it
+        stack.extend((k, up if k.tag in WITHIN and cur.tag in CONTAINER else k) for k in cur.kids if isinstance(k, Node) and not k.drop)
         if cur.tag in CONTAINER:
             total, links = text_len(cur, False)
-            up = cur
-            while up.tag in ("li", "ol", "ul", "tr", "td", "tbody", "table", "blockquote", "dl", "figure", "details", "center") and up.parent is not None and up.parent.tag in CONTAINER:
-                up = up.parent
             gain = (total - 2 * links) * (3.0 if up.tag in ("article", "main") else 1.0)
             if gain > 0:
-                p = path_of(up)
-                found[p] = found.get(p, 0.0) + gain
+                names.setdefault(up.path, up)
+                found[up.path] = found.get(up.path, 0.0) + gain
     # a section's text speaks for what encloses it too, but less
     for p, s in sorted(found.items()):
-        up = p.rsplit("/", 1)[0] if "/" in p else ""
-        last = up.rsplit("/", 1)[-1].split(".")[0]
-        if up and last in ("article", "main"):
-            found[up] = found.get(up, 0.0) + s
+        up = names[p].parent
+        if up is not None and up.tag in ("article", "main"):
+            found[up.path] = found.get(up.path, 0.0) + s
     return sorted(found.items())
 
 
@@ -229,10 +265,9 @@ def find(root: Node, path: str) -> list[Node]:
     out, stack = [], [root]
     while stack:
         cur = stack.pop()
-        if cur is not root and path_of(cur) == path:
+        if cur is not root and path.endswith(cur.label) and cur.path == path:
             out.append(cur)
-            continue
-        if path_of(cur) == "" or path.startswith(path_of(cur) + "/"):
+        else:
             stack.extend(k for k in reversed(cur.kids) if isinstance(k, Node) and not k.drop)
     return out
 
@@ -284,7 +319,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null page is empty: text '' and 0 characters. A null or odd address belongs to the host ''. Repeated rows come
     back as often as they are there; an empty table gives an empty result.
     """
-    winners = bounded_broadcast(written(winning_paths(host_votes(pages, url_col, html_col)), "paths"), BROADCAST_HOSTS)
+    winners = bounded_broadcast(written(winning_paths(host_votes(pages, url_col, html_col)), "paths"))
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_or_empty(F.col(html_col)).alias("html"), host_column(F.col(url_col)).alias("host"))
     joined = src.join(winners, "host", "left").select("page_id", "url", "html", "winner")
 
