@@ -5,7 +5,7 @@ Request and metadata name the response's record in WARC-Concurrent-To. Reading p
 joins the three through that identifier.
 
 Archives are written and read by Spark's own file sources (text with the records' CRLF CRLF as line separator, and
-whole binary files of a bounded number of records), so any file system that Spark knows will do. The payload moves
+whole binary files of a bounded size), so any file system that Spark knows will do. The payload moves
 in the shuffles that place a page beside its duplicate and no further: assembling joins headers, not payloads.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import new_path, text_or_empty, written
 
 VERSION = "WARC/1.1"
-#: Records of a file; a reader holds one file at a time.
-RECORDS_PER_FILE = 3000
+#: Bytes of transactions that are written as one row, and rows of a file: a reader holds one file at a time, which is
+#: at most their product, if no transaction is larger.
+BUNDLE_BYTES = 4 << 20
+BUNDLES_PER_FILE = 8
 #: Fixed date of the synthetic crawl: records are a function of their page alone.
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 _CRLF = "\r\n"
@@ -59,9 +61,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write every row of ``pages`` as a transaction into archive files under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def bundle():
+            nonlocal held
+            whole = (_CRLF * 2).join(out)
+            out.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array([whole], pa.string())], ["value"])
+
         for batch in batches:
-            out = []
-            for page, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, payload, refers in ((v.as_py() for v in row) for row in zip(*batch.columns, strict=True)):
                 name = "null" if page is None else str(page)
                 rid = lambda kind, n: f"<urn:tessera:{kind}:{n}>"
                 target, body = _uri(url), payload.encode()
@@ -77,10 +87,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 request = _record("request", rid("request", name), [("WARC-Target-URI", target), at, ("Content-Type", "application/http; msgtype=request")], f"GET {target} HTTP/1.1{_CRLF}Host: {host}{_CRLF}{_CRLF}")
                 meta = _record("metadata", rid("metadata", name), [("WARC-Target-URI", target), at, ("Content-Type", "application/warc-fields")], f"pageId: {name}{_CRLF}")
                 out += [request, main, meta]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                held += len(main)
+                if held >= BUNDLE_BYTES:
+                    yield bundle()
+        if out:
+            yield bundle()
 
     records = mark_revisits(pages, id_col, url_col, payload_col, min_bytes).mapInArrow(run, "value string")
-    records.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    records.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", BUNDLES_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -120,14 +134,13 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
 
         for batch in batches:
             for file in batch.column(0):
-                data, raw = file.as_buffer(), b""
-                view = memoryview(data)
+                members, view = [], memoryview(file.as_buffer())
                 while len(view):  # one gzip member after another
                     d = zlib.decompressobj(31)
-                    raw += d.decompress(view) + d.flush()
+                    members += [d.decompress(view), d.flush()]
                     view = memoryview(d.unused_data)
                 rows, held = [], 0
-                for h, block in parse_records(raw):
+                for h, block in parse_records(b"".join(members)):
                     payload = None
                     if h["warc-type"] == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
@@ -151,13 +164,15 @@ def read_records(spark: SparkSession, path: str, payloads: bool = False) -> Data
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: ``id``, ``capture`` (the response or revisit), ``request`` and ``metadata`` as structs
     (null where there is none), joined through the concurrent-to identifiers; ``source`` is the response that a
-    revisit refers to. If several requests or metadata records name one capture, the one with the least id is taken."""
+    revisit refers to, of that name and of the digest that the revisit declares. If several requests or metadata records name one capture, the one with the least id is taken."""
     row = lambda name: F.struct("type", "id", "refers_to", "target_uri", "declared_digest", "block_bytes", "payload_bytes", "payload_digest", "fields", "payload").alias(name)
     captures = records.where(F.col("type").isin("response", "revisit")).select(F.col("id"), row("capture"))
     side = lambda kind: records.where(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("id")).agg(F.min_by(row(kind), F.col("id")).alias(kind))
     whole = captures.join(side("request"), "id", "left").join(side("metadata"), "id", "left")
-    found = captures.where("capture.type = 'response'").select(F.col("id").alias("_source"), F.struct("id", "capture.payload_bytes", "capture.payload_digest").alias("source"))
-    return whole.join(found, F.col("capture.refers_to") == F.col("_source"), "left").drop("_source")
+    # one row for each name and digest, as records of one name may be several
+    found = captures.where("capture.type = 'response'").groupBy(F.col("id").alias("_source"), F.col("capture.payload_digest").alias("_digest")).agg(F.min("capture.payload_bytes").alias("_bytes"))
+    found = found.select("_source", "_digest", F.struct(F.col("_source").alias("id"), F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest")).alias("source"))
+    return whole.join(found, (F.col("capture.refers_to") == F.col("_source")) & (F.col("capture.declared_digest") == F.col("_digest")), "left").drop("_source", "_digest")
 
 
 def page_number(record_id: Column) -> Column:
@@ -168,8 +183,7 @@ def page_number(record_id: Column) -> Column:
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` as archives into the shared folder, read them back and return the assembled captures.
 
-    Ids are expected to be distinct: they name the records. Rows that repeat an id are written each, and appear as
-    often; null ids are named ``null``. Null payloads are empty; an empty table gives no captures.
+    Ids name the records. Rows that repeat an id are written each and come back once each; null ids are named ``null``. Null payloads are empty; an empty table gives no captures.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
