@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import html_text
@@ -26,10 +26,10 @@ from tessera.llm.common import bounded_broadcast, text_or_empty, written
 BUCKETS = 1 << 14
 TRAIN_DOCS = 300
 TRAIN_BYTES = 16_384
+MAX_LANGS = 200
 #: Text evidence counts as that of at most so many trigrams.
 FULL_WEIGHT = 60
 ALPHA, BETA = 20.0, 5.0
-BROADCAST_KEYS = 200_000
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -69,17 +69,19 @@ class TextModel:
 
 
 def training_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most TRAIN_DOCS (language, text) pairs a language, in the order of a hash of id and text. Languages are few:
-    their number is bounded by what the label column holds."""
-    rows = docs.select(F.col(lang_col).alias("lang"), text_or_empty(F.col(text_col)).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang is not null").where(F.octet_length("text").between(20, TRAIN_BYTES))
-    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    out = []
-    for lang in langs:
-        own = rows.where(F.col("lang") == lang)
-        # hashes first: texts are fetched only of the rows that are taken
-        last = own.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-        out += [(lang, t) for t in sorted(r["text"] for r in own.where(F.col("h") <= last).dropDuplicates(["h"]).select("text").collect())]
-    return out
+    """At most TRAIN_DOCS (language, text) pairs a language, those with the least hashes of id and text, of at most
+    MAX_LANGS languages, those with the most documents up to TRAIN_DOCS, then in order of their names."""
+    text = text_or_empty(F.col(text_col))
+    rows = docs.select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang is not null").where(F.octet_length("text").between(20, TRAIN_BYTES))
+    # hashes first, each task keeping its least: texts are fetched only of the rows that are taken
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= TRAIN_DOCS)
+    ends = {r["lang"]: r["h"] for r in least.groupBy("lang").agg(F.max("h").alias("h"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    if not ends:
+        return []
+    last = docs.sparkSession.createDataFrame(list(ends.items()), "l string, last bigint")  # at most MAX_LANGS rows
+    taken = rows.join(F.broadcast(last), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("last"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return sorted((r["lang"], r["text"]) for r in taken.select("lang", "text").collect())
 
 
 def declared_language(page: Column) -> Column:
@@ -133,7 +135,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     share = [((every[i] if every[i] is not None else 0.0) + 1.0) / (sum(x or 0.0 for x in every) + len(langs)) for i in range(len(langs))]
     out = rows
     for k, s in sums.items():
-        out = out.join(bounded_broadcast(s, BROADCAST_KEYS), k, "left")
+        out = out.join(bounded_broadcast(s), k, "left")
 
     def rest(k: str, i: int) -> Column:
         return F.greatest(F.col(f"{k}_{q[i]}") - F.col(q[i]), F.lit(0.0))

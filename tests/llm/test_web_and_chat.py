@@ -191,3 +191,70 @@ def test_language_declared_after_a_long_start_of_the_page(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, html string")
     got = {r.page_id: r.d for r in pages.select("page_id", L.declared_language(pages.html).alias("d")).collect()}
     assert got == {1: "de", 2: "fr", 3: ""}
+
+
+LONG = "and on it goes for quite a while, as articles do, until it ends"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p class=x\">First {LONG}</p><p>Second.</p><p>He said \"hello\" to all</p>", [f"First {LONG}", "Second.", 'He said "hello" to all']),
+        (f"<article><p>One <a href=x\">link</a> {LONG}</p><p>Two \"q\" three</p></article>", [f"One link {LONG}", 'Two "q" three']),
+        (f"<article><p title='a>b' data-x=\"<p>\">{LONG}</p><p it's>End</p></article>", [LONG, "End"]),
+        (f"<article><p>{LONG}</p><a href=/>go</a> on</article>", [LONG, "go on"]),
+    ],
+)
+def test_quotes_and_tags_end_as_the_standard_says(page, want):
+    assert H.extract(page, None).split("\n") == want
+
+
+@pytest.mark.parametrize("name", ["ad-hoc-text", "header-text", "notice-of-motion", "has-sidebar", "commentary", "search-for-meaning"])
+def test_names_that_only_begin_like_furniture_are_text(name):
+    assert H.extract(f"<article><p>{LONG}</p><div class='{name}'>{LONG} twice</div></article>", None) == f"{LONG}\n{LONG} twice"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "site-header", "sidebar-left", "commentList", "related-posts", "cookie_banner", "newsletter-box", "footer links"])
+def test_furniture_goes(name):
+    assert H.extract(f"<article><p>{LONG}</p><div class='{name}'>{LONG} twice</div></article>", None) == LONG
+
+
+def test_deep_and_long_pages():
+    deep = 30_000
+    assert H.extract(f"<article><header>{'<b>' * deep}<h1>Head</h1></header><p>{LONG}</p></article>", None) == f"Head\n{LONG}"
+    page = "<div>" * deep + f"<p>{LONG}</p>" + "</span>" * deep + "</div>" * deep
+    assert H.extract(page, None) == LONG
+    assert H.extract("<ul><li>" * deep + LONG, None) == LONG
+    text = "word " * 400_000
+    assert H.extract(f"<article><p>{text}</p></article>", None) == text.strip()
+
+
+def test_ties_of_votes_go_to_the_first_path(spark):
+    pages = [(i, "http://t.example/", f"<body><div class={c}><p>{LONG}</p></div></body>", "", "", "") for i, c in enumerate(["one", "two"])]
+    df = spark.createDataFrame(pages, PAGES)
+    votes = {r.path: r.score for r in H.host_votes(df).collect()}
+    assert len(set(votes.values())) == 1 and H.winning_paths(H.host_votes(df)).first().winner == min(votes)
+    assert {r.text for r in H.extract_pages(df).collect()} == {LONG}
+
+
+def test_revisits_of_repeated_ids_come_back_once_each(spark):
+    rows = [(9, "c"), (9, "c"), (5, "c"), (7, "d"), (7, "e"), (2, "e"), (3, "x" * 3_000_000), (1, "x" * 3_000_000)]
+    pages = spark.createDataFrame([(p, "u", h, "", "", "") for p, h in rows], PAGES)
+    got = W.archive_round_trip(pages).select("id", "capture.type", "capture.refers_to", "source.payload_bytes", "source.payload_digest").collect()
+    assert len(got) == len(rows)
+    bodies = {5: b"c", 2: b"e", 1: b"x" * 3_000_000}
+    for r in got:
+        if r.type == "revisit":
+            body = bodies.pop(W_page(r.id))
+            assert (r.payload_bytes, r.payload_digest) == (len(body), W.payload_digest(body))
+    assert not bodies
+
+
+def test_language_sample_is_one_bounded_set_a_language(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_DOCS", 4)
+    rows = [(i, f"text number {i} is long enough", ["en", "fr", None][i % 3]) for i in range(30)] + [(0, "text number 0 is long enough", "en")] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = L.training_sample(docs)
+    assert {x: sum(lang == x for lang, _ in got) for x in ("en", "fr")} == {"en": 4, "fr": 4} and len(set(got)) == len(got)
+    assert got == L.training_sample(docs.repartition(7))
+    assert L.training_sample(docs.limit(0)) == []
