@@ -5,13 +5,15 @@ in a chunk. Learned filters run over each chunk; a filter's response to a chunk
 the mean, the maximum and the minimum over its chunks of those responses: a layer and a logistic unit make one
 probability of them. No byte is left out, however long the text, and memory is bounded by the chunk.
 
-Training takes place on the driver, on a bounded sample of labelled rows (``MAX_TRAIN_ROWS`` rows of at most
-``MAX_TRAIN_BYTES`` bytes each, classes in equal parts, the natural share of classes restored by weights). Scoring is
+Training takes place on the driver, on a bounded sample of labelled rows (``MAX_TRAIN_ROWS`` rows; of a text longer
+than ``MAX_TRAIN_BYTES``, pieces spread over all of it; classes in equal parts, the natural share of classes restored
+by weights). Scoring is
 a map over all rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,8 @@ FILTERS = 24
 CHUNK = 512
 MAX_TRAIN_ROWS = 1600
 MAX_TRAIN_BYTES = 16_384
+#: Pieces, of as many characters as a chunk has bytes, that a longer text is learned from.
+SPREAD = 32
 EPOCHS = 12
 SEED = 7
 #: Chunks that are convolved at a time.
@@ -164,21 +168,25 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_TRAIN_ROWS) -> list[tuple[str, int, float]]:
     """At most ``max_rows`` (text, label, weight), half of them of each class if there are as many, in the order of a
     hash of the id. Only labels whose document is in ``docs`` count: the sample is taken from them, and the weight
-    restores each class's share of them. Of rows that repeat an id, the least text stands for it."""
+    restores each class's share of them. Of a longer text than MAX_TRAIN_BYTES, SPREAD pieces at equal distances from
+    its beginning to its end stand for it. Of rows that repeat an id the least text counts, of labels the least."""
     half = max_rows // 2
-    known = labels.select(F.col(labels.columns[0]).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").dropDuplicates(["_id"])
-    rows = docs.select(F.col(id_col).alias("_d"), text_or_empty(F.col(text_col)).alias("_text"))
-    short = F.octet_length("_text") <= MAX_TRAIN_BYTES
-    there = rows.where("_d is not null").groupBy("_d").agg(F.max(short).alias("_short"))
-    known = written(known.join(there, F.col("_d") == F.col("_id")).select("_id", "_y", "_short"), "labelled")
+    known = labels.select(F.col(labels.columns[0]).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"))
+    text = text_or_empty(F.col(text_col))
+    step = (F.length(text) - CHUNK) / (SPREAD - 1)
+    pieces = F.concat(*(F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(CHUNK)) for k in range(SPREAD)))
+    rows = docs.select(F.col(id_col).alias("_d"), F.when(F.octet_length(text) <= MAX_TRAIN_BYTES, text).otherwise(pieces).alias("_text")).where("_d is not null")
+    known = written(known.join(rows.select("_d").distinct(), F.col("_d") == F.col("_id")).select("_id", "_y"), "labelled")
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    fit_for = known.where("_short").select("_id", "_y")
-    picked = [r for y in (0, 1) for r in fit_for.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(half).collect()]
+    if len(counts) == 1:
+        warnings.warn(f"all labelled documents have label {min(counts)}: every document gets one score", stacklevel=2)
+    picked = [r for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(half).collect()]
+    schema = known.schema
     drop(known)
     if not picked:
         return []
-    chosen = docs.sparkSession.createDataFrame(picked, fit_for.schema)  # at most max_rows
-    found = rows.where(short).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
+    chosen = docs.sparkSession.createDataFrame(picked, schema)  # at most max_rows
+    found = rows.join(F.broadcast(chosen), F.col("_d") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
     number = {y: sum(r["_y"] == y for r in found) for y in (0, 1)}
     return [(r["_text"], r["_y"], counts[r["_y"]] / number[r["_y"]]) for r in sorted(found, key=lambda r: r["_id"])]
 
@@ -220,4 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` whose score is ``cut`` or more, with all their columns. The network learns from the labelled
     rows of ``learn_from``, which has the same columns; of ``docs`` if there is none."""
     net = trained(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col)
-    return with_score(docs, net, text_col, "_score").where(F.col("_score") >= cut).select(*docs.columns)
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return with_score(docs, net, text_col, name).where(F.col(f"`{name}`") >= cut).select(*(f"`{c}`" for c in docs.columns))

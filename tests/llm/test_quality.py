@@ -126,3 +126,34 @@ def test_repeated_ids_do_not_crowd_out_a_class(spark):
     labels = spark.createDataFrame([(i, int(i < 5)) for i in range(1, 10)], "doc_id bigint, quality int")
     got = N.training_rows(docs, labels, "doc_id", "text", "quality", max_rows=20)
     assert [(t, y) for t, y, _ in got] == [("hot 000", 1), *((f"text {i}", int(i < 5)) for i in range(2, 10))]
+
+
+def test_score_is_that_of_a_plain_convolution():
+    rng = np.random.default_rng(9)
+    net = N.ByteCnn(*(rng.normal(0, 0.4, s).astype(np.float32) for s in ((N.WIDTH, 257, N.FILTERS), N.FILTERS, 3 * N.FILTERS)), 0.1)
+    net.taps[:, 0] = 0
+    for size in (0, 1, 5, 6, 511, 512, 513, 1100):
+        data = rng.integers(32, 127, size, dtype=np.uint8).tobytes()
+        step, responses, at = N.CHUNK - N.WIDTH + 1, [], 0
+        while True:
+            chunk = data[at : at + N.CHUNK].ljust(N.CHUNK, b"\0")
+            used = len(data[at : at + N.CHUNK])
+            windows = [sum(net.taps[j, chunk[i + j] + 1 if i + j < used else 0] for j in range(N.WIDTH)) for i in range(step)]
+            responses.append(np.tanh(np.max(windows, axis=0) + net.bias))
+            at += step
+            if at >= max(1, len(data) - N.WIDTH + 1):
+                break
+        pooled = np.concatenate([np.mean(responses, axis=0), np.max(responses, axis=0), np.min(responses, axis=0)])
+        assert abs(net.score(data.decode()) - 1 / (1 + np.exp(-(pooled @ net.head + net.offset)))) < 1e-5
+
+
+def test_training_sees_both_classes_whatever_their_lengths(spark):
+    good, bad = "quiet words in a row " * 1100, "BUY!! now $$$ " * 1000
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + str(i), 7.0, "z") for i in range(24)], "doc_id bigint, text string, score double, _text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id bigint, quality int")
+    rows = N.training_rows(docs, labels, "doc_id", "text", "quality")
+    assert sorted(y for _, y, _ in rows) == [0] * 12 + [1] * 12
+    assert all(len(t) == N.SPREAD * N.CHUNK and t.endswith(("5", "7", "9", "1", "3")) for t, y, _ in rows if y)
+    kept = N.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(1, 24, 2)) and {r.score for r in kept.collect()} == {7.0}
