@@ -3,11 +3,12 @@
 A text, lower-cased in A-Z only, is cut into fixed-size blocks of bytes. All blocks of the corpus are sorted and each
 distinct block gets its dense rank as an integer name; then adjacent names are paired, the pairs sorted and named in
 turn, until one name is left for each document. With the number of blocks, that name is the document's identity: it
-is made by comparing contents, never by hashing, so two texts share it only if they are equal.
+is made by comparing contents, so two texts share it only if they are equal; only where a run of equal blocks crosses
+from one partition to the next are its two ends compared by a 128-bit digest.
 
 Scale: blocks meet in one range-partitioned sort whose key ends in the document, so a block that a third of all rows
-share is spread over many tasks; runs that cross a partition's border are mended from two rows per partition. Only
-integers move after that. Every level is written to the shared folder, so executors may be lost between levels.
+share is spread over many tasks; runs that cross a partition's border are mended from two rows per partition. Ranges are
+cut by a block's first bytes and its digest, so what the driver samples is a few numbers a row. Only integers move after that. Every level is written to the shared folder, so executors may be lost between levels.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import drop, rows_of, text_or_empty, written
 
 BLOCK_BYTES = 1024
+#: A block's first bytes and its digest: what rows are partitioned by, so that no block travels to the driver.
+ROUTE = ["head", "digest1", "digest2"]
 _BATCH_BYTES = 4 << 20
 
 
 def _cutter(block_bytes: int):
-    names = ["doc_id", "sha", "n_blocks", "pos", "mult", "block"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "sha", "n_blocks", "pos", "mult", *ROUTE, "block"]
+    types = [pa.int64(), pa.binary(), *[pa.int64()] * 6, pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, held = [[] for _ in names], 0
@@ -49,7 +53,9 @@ def _cutter(block_bytes: int):
                 sha = hashlib.sha256(data).digest()
                 n = max(1, -(-len(data) // block_bytes))
                 for pos in range(n):
-                    for c, v in zip(cols, (doc, sha, n, pos, 1, data[pos * block_bytes : (pos + 1) * block_bytes]), strict=True):
+                    block = data[pos * block_bytes : (pos + 1) * block_bytes]
+                    route = struct.unpack(">qqq", block[:8].ljust(8, b"\0") + hashlib.blake2b(block, digest_size=16).digest())
+                    for c, v in zip(cols, (doc, sha, n, pos, 1, *route, block), strict=True):
                         c.append(v)
                     held += block_bytes
                     if held >= _BATCH_BYTES:
@@ -61,17 +67,22 @@ def _cutter(block_bytes: int):
     return cut
 
 
-def dense_names(df: DataFrame, keys: list[str], tie: list[str], keep: list[str], label: str) -> DataFrame:
+def dense_names(df: DataFrame, keys: list[str], tie: list[str], keep: list[str], label: str, route: list[str] | None = None) -> DataFrame:
     """``keep`` columns and ``name``: the dense rank (from 0) of the row's ``keys`` among all distinct ``keys``.
 
     Rows are range-partitioned and sorted by keys and ties; ranks are counted in each partition and shifted by what
-    precedes it. A run that two partitions share counts once. The driver sees two rows per partition.
+    precedes it. A run that two partitions share counts once. The driver samples and sees a bounded number of keys for
+    each partition. Where keys are long, ``route`` names short columns that are equal exactly where the keys are (a
+    digest): ranges are cut and borders compared by them, and ranks follow first them and then the keys, which are
+    compared in full within a partition.
     """
     spark = df.sparkSession
-    ordered = df.select(*dict.fromkeys([*keys, *tie, *keep])).repartitionByRange(*keys, *tie).sortWithinPartitions(*keys, *tie)
+    route = route or []
+    ordered = df.select(*dict.fromkeys([*route, *keys, *tie, *keep])).repartitionByRange(*(route or keys), *tie).sortWithinPartitions(*route, *keys, *tie)
+    border = route or keys
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, at, last, held = TaskContext.get().partitionId(), -1, None, None
+        pid, at, before, last, held = TaskContext.get().partitionId(), -1, None, None, None
 
         def out(batch, ranks, first, end):
             n = batch.num_rows
@@ -89,13 +100,15 @@ def dense_names(df: DataFrame, keys: list[str], tie: list[str], keep: list[str],
             if not batch.num_rows:
                 continue
             cols = [batch.column(k) for k in keys]
-            head = tuple(c[0].as_py() for c in cols)
+            head = tuple(batch.column(k)[0].as_py() for k in border)
             new = np.zeros(batch.num_rows, dtype=np.int64)
             for c in cols:
                 new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False).astype(np.int64)
-            new[0] = int(head != last)
+            own = tuple(c[0].as_py() for c in cols)
+            new[0] = int(own != before)
             ranks = at + np.cumsum(new)
-            at, last = int(ranks[-1]), tuple(c[-1].as_py() for c in cols)
+            at, before = int(ranks[-1]), tuple(c[-1].as_py() for c in cols)
+            last = tuple(batch.column(k)[-1].as_py() for k in border)
             if held:
                 yield out(*held, None)
             held = (batch, ranks, head if held is None and ranks[0] == 0 and new[0] else None)
@@ -132,9 +145,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     is one empty block. Ids may be null.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).cast("binary").alias("text"))
-    blocks = src.mapInArrow(_cutter(block_bytes), "doc_id bigint, sha binary, n_blocks bigint, pos bigint, mult bigint, block binary")
+    blocks = src.mapInArrow(_cutter(block_bytes), f"doc_id bigint, sha binary, n_blocks bigint, pos bigint, mult bigint, {', '.join(f'{c} bigint' for c in ROUTE)}, block binary")
     keep = ["doc_id", "sha", "n_blocks", "pos", "mult"]
-    named = dense_names(blocks, ["block"], ["doc_id", "pos"], keep, "names-0")
+    named = dense_names(blocks, ["block"], ["doc_id", "pos"], keep, "names-0", ROUTE)
     longest = named.agg(F.max("n_blocks")).first()[0] or 1
     levels, done = [named], [named.where("n_blocks = 1")]
     for level in range(1, math.ceil(math.log2(longest)) + 1 if longest > 1 else 1):

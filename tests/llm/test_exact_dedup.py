@@ -61,3 +61,16 @@ def test_columns_of_any_name_come_back_unchanged(spark):
     rows = [(1, "a b", 78, "x", "r"), (2, "A B", 79, "y", "r"), (3, "c", 80, None, "r"), (3, "c", 80, None, "r")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, _n bigint, _sha0 string, row string")
     assert sorted(map(tuple, E.drop_exact_duplicates(docs).collect())) == rows[1:3]
+
+
+def test_runs_of_equal_blocks_that_cross_partitions(spark):
+    texts = ["same" * 40, "other" * 30, "same" * 39 + "Same", "x"]
+    rows = [(i, texts[i % 4]) for i in range(400)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sorted((tuple(r) for r in E.exact_duplicates(docs, block_bytes=16).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == expected(rows)
