@@ -19,8 +19,6 @@ SMOOTHING = 16.0
 #: Mean log-ratio per n-gram (nats) from which a document is kept.
 THRESHOLD = -0.09
 MIN_WORDS = 50
-#: Target ids are broadcast up to this many rows; beyond, the join shuffles.
-BROADCAST_IDS = 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -48,7 +46,7 @@ def gram_weights(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col:
     ``docs`` is the raw corpus, all of it; its rows whose id is in ``target_ids`` are the target. With an empty
     target every weight is 0, so the ratio rejects nothing.
     """
-    ids = bounded_broadcast(target_ids.select(F.col(target_ids.columns[0]).alias("_t")).where("_t is not null").distinct(), BROADCAST_IDS)
+    ids = bounded_broadcast(target_ids.select(F.col(target_ids.columns[0]).alias("_t")).where("_t is not null").distinct())
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_t"), "left")
     rows = rows.select(F.col("_t").isNotNull().cast("bigint").alias("_hit"), words(F.col("_text")).alias("_w"))
     grams = rows.select("_hit", F.explode(_grams(F.col("_w"), F.size("_w"), buckets)).alias("bucket"))
