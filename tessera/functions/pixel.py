@@ -129,8 +129,14 @@ def lut(a: Num, table: Column) -> Column:
 
 def normalize(img: Column, low: float, high: float) -> Column:
     """Stretch a packed image to [low, high]; a constant image becomes ``low``."""
-    least, most = F.array_min(img), F.array_max(img)
-    return F.transform(img, lambda v: F.when(most == least, u8(F.lit(low))).otherwise(u8((v - least) * ((high - low) / F.nullif(most - least, F.lit(0))) + low)))
+    # the image and its ends go into a struct that a lambda binds once, so that no pixel works them out again
+    bound = F.array(F.struct(img.alias("i"), F.array_min(img).alias("least"), F.array_max(img).alias("most")))
+
+    def stretched(s: Column) -> Column:
+        span = s["most"] - s["least"]
+        return F.transform(s["i"], lambda v: F.when(span == 0, u8(F.lit(low))).otherwise(u8((v - s["least"]) * ((high - low) / F.nullif(span, F.lit(0))) + low)))
+
+    return F.get(F.transform(bound, stretched), F.lit(0))
 
 
 def safe_log(a: Num) -> Column:

@@ -8,6 +8,7 @@ partition, and no pair of rows is ever joined.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,9 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(ids), np.array(vecs, dtype=np.float64)
 
 
-def _scan(queries: DataFrame, base: DataFrame, metric: str, pick: Callable[[np.ndarray, np.ndarray], np.ndarray], skip_self: bool) -> DataFrame:
+def _scan(queries: DataFrame, base: DataFrame, metric: str, skip_self: bool, k: int | None = None, pick: Callable[[np.ndarray], tuple] | None = None) -> DataFrame:
+    """Of each query and task the ``k`` nearest rows, or those that ``pick`` chooses of each matrix of distances."""
+    rows = lambda q, b, d: pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(d)], ["query_id", "nbr_id", "dist"])
     out = None
     for ids, vecs in _blocks(queries):
         block = base.sparkSession.sparkContext.broadcast((ids, vecs))
@@ -69,6 +72,7 @@ def _scan(queries: DataFrame, base: DataFrame, metric: str, pick: Callable[[np.n
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             q_ids, q = block.value
             step = max(1, (1 << 22) // max(1, len(q_ids) * q.shape[1]))
+            best_d, best_id = np.empty((len(q_ids), 0)), np.empty((len(q_ids), 0), dtype=np.int64)
             for batch in batches:
                 b_ids = batch.column(0).to_numpy()
                 b = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b_ids), -1)
@@ -76,8 +80,17 @@ def _scan(queries: DataFrame, base: DataFrame, metric: str, pick: Callable[[np.n
                     d = np.round(METRICS[metric](q, b[i : i + step]), 9)
                     if skip_self:
                         d[q_ids[:, None] == b_ids[None, i : i + step]] = np.inf
-                    at = pick(d, b_ids[i : i + step])
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[0]]), pa.array(b_ids[i : i + step][at[1]]), pa.array(d[at])], ["query_id", "nbr_id", "dist"])
+                    if k is None:
+                        at = pick(d)
+                        yield rows(q_ids[at[0]], b_ids[i : i + step][at[1]], d[at])
+                    else:  # the task's k best so far, and these
+                        best_d = np.concatenate([best_d, d], axis=1)
+                        best_id = np.concatenate([best_id, np.broadcast_to(b_ids[i : i + step], d.shape)], axis=1)
+                        order = np.lexsort((best_id, best_d), axis=1)[:, :k]
+                        best_d, best_id = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_id, order, 1)
+            if k is not None:
+                ok = np.isfinite(best_d)
+                yield rows(np.broadcast_to(q_ids[:, None], best_d.shape)[ok], best_id[ok], best_d[ok])
 
         part = base.select("id", "vec").mapInArrow(run, "query_id bigint, nbr_id bigint, dist double")
         out = part if out is None else out.unionByName(part)
@@ -87,22 +100,14 @@ def _scan(queries: DataFrame, base: DataFrame, metric: str, pick: Callable[[np.n
 def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """(query_id, rank, nbr_id, dist): the k nearest rows of ``base(id, vec)`` of each row of ``queries(id, vec)``;
     ties go to the smaller id. Distances are rounded to 9 digits."""
-
-    def pick(d: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(d)), order.shape[1])
-        cols = order.ravel()
-        ok = np.isfinite(d[rows, cols])
-        return rows[ok], cols[ok]
-
     w = Window.partitionBy("query_id").orderBy("dist", "nbr_id")
-    found = _scan(queries, base, metric, pick, skip_self).withColumn("rank", F.row_number().over(w))
+    found = _scan(queries, base, metric, skip_self, k).withColumn("rank", F.row_number().over(w))
     return found.where(F.col("rank") <= k).select("query_id", "rank", "nbr_id", "dist")
 
 
 def radius(queries: DataFrame, base: DataFrame, r: float, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """(query_id, nbr_id, dist) of all rows within ``r``, inclusive."""
-    return _scan(queries, base, metric, lambda d, _: np.nonzero(d <= r), skip_self)
+    return _scan(queries, base, metric, skip_self, pick=lambda d: np.nonzero(d <= r))
 
 
 def ratio_test(matches: DataFrame, ratio: float) -> DataFrame:
@@ -160,9 +165,12 @@ def near_groups(codes: DataFrame, distance: int, code_bits: int = 64) -> DataFra
     return codes.join(of, "code").select("id", "group_id").distinct()
 
 
-def lsh_knn(queries: DataFrame, base: DataFrame, k: int, bands: int, bits: int) -> DataFrame:
-    """(query_id, rank, nbr_id, dist): the k nearest codes among those that share a band's bits; approximate."""
-    q = hash_buckets(queries, bands, bits).select("band", "key", F.col("id").alias("query_id"), F.col("code").alias("cq"))
+def lsh_knn(queries: DataFrame, base: DataFrame, k: int, bands: int, bits: int, flips: int = 0) -> DataFrame:
+    """(query_id, rank, nbr_id, dist): the k nearest codes among those that share a band's bits but for at most
+    ``flips`` of them; approximate. Queries look into all buckets whose key is so near theirs; the base is not copied."""
+    masks = [sum(1 << b for b in some) for n in range(flips + 1) for some in combinations(range(bits), n)]
+    q = hash_buckets(queries, bands, bits).withColumn("mask", F.explode(F.array(*(F.lit(m).cast("bigint") for m in masks))))
+    q = q.select("band", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), F.col("id").alias("query_id"), F.col("code").alias("cq"))
     b = hash_buckets(base, bands, bits).select("band", "key", F.col("id").alias("nbr_id"), F.col("code").alias("cb"))
     cand = q.join(b, ["band", "key"]).where("query_id <> nbr_id").select("query_id", "nbr_id", F.bit_count(F.col("cq").bitwiseXOR(F.col("cb"))).alias("dist")).distinct()
     w = Window.partitionBy("query_id").orderBy("dist", "nbr_id")

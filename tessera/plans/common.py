@@ -45,8 +45,18 @@ def u8(e: str) -> str:
     return U8.format(f"({e})")
 
 
+#: Each image with the one of the next id, joined as lists; a.v and b.v are the values of one place.
+_PAIRS = """im AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(greatest(0.0, least(255.0, (CAST(e AS DOUBLE) - (-0.6)) / 1.2 * 255 + 0.5))) AS INT)) AS vs FROM embeddings
+), two AS (
+  SELECT p.vec_id AS img_id, p.vs AS va, q.vs AS vb FROM im p JOIN im q ON q.vec_id = p.vec_id + 1
+), places AS (
+  SELECT img_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, {'v': va[i + 1]} AS a, {'v': vb[i + 1]} AS b FROM two, (SELECT CAST(range AS INT) AS i FROM range(64)) r
+)"""
+
+
 def pair_sql(e: str) -> str:
-    return f"WITH {IMG} SELECT a.img_id, a.y, a.x, {e} AS v FROM img a JOIN img b ON b.img_id = a.img_id + 1 AND b.y = a.y AND b.x = a.x"
+    return f"WITH {_PAIRS} SELECT img_id, y, x, {e} AS v FROM places"
 
 
 def point_sql(e: str) -> str:

@@ -35,7 +35,7 @@ def _shots(s, d):
 
 
 register("shot_boundaries", _shots, "WITH e AS (SELECT CAST(ts AS DATE) AS frame, CAST(greatest(0, least(7, floor(value * 0.08::DOUBLE))) AS INT) AS b FROM events), h AS (SELECT f.frame, k.range AS bin, count(e.b) AS n FROM (SELECT DISTINCT frame FROM e) f CROSS JOIN range(8) k LEFT JOIN e ON e.frame = f.frame AND e.b = k.range GROUP BY ALL), s AS (SELECT *, n / CAST(sum(n) OVER (PARTITION BY frame) AS DOUBLE) AS s FROM h), p AS (SELECT *, lag(s) OVER (PARTITION BY bin ORDER BY frame) AS p FROM s) SELECT CAST(frame AS VARCHAR) AS frame, round(sum(abs(s - p)), 6) AS change FROM p WHERE p IS NOT NULL GROUP BY p.frame HAVING sum(abs(s - p)) > 0.1")
-register("as_of_join", lambda s, d: T.as_of(_EV(s, d).where("event_id % 2 = 0"), _EV(s, d).where("event_id % 2 = 1").withColumnRenamed("v", "prior"), K, "ts", ["prior"]).select("event_id", "prior"), f"WITH {_E}, a AS (SELECT * FROM e WHERE event_id % 2 = 0), b AS (SELECT user_id, ts, arg_max(v, event_id) AS prior FROM e WHERE event_id % 2 = 1 GROUP BY 1, 2) SELECT a.event_id, b.prior FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts")
+register("as_of_join", lambda s, d: T.as_of(_EV(s, d), _EV(s, d).join(table(s, d, "events").where("event_type = 'purchase'").select("event_id"), "event_id", "left_semi").withColumnRenamed("v", "prior"), K, "ts", ["prior"]).select("event_id", "prior"), f"WITH {_E}, b AS (SELECT user_id, ts, arg_max(v, event_id) AS prior FROM e WHERE event_id IN (SELECT event_id FROM events WHERE event_type = 'purchase') GROUP BY 1, 2) SELECT a.event_id, b.prior FROM e a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts")
 register("resample_frames", lambda s, d: T.resample(_EV(s, d), K, "ts", "v", 21600), f"WITH {_E}, l AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s, lead(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), ts) AS nx FROM e), g AS (SELECT user_id, v, unnest(range(CAST(ceil(s / 21600.0) AS BIGINT), CAST(ceil(nx / 21600.0) AS BIGINT))) AS k FROM l WHERE nx IS NOT NULL) SELECT user_id, k * 21600 AS tick, v FROM g")
 _T = lambda s, d: images(s, d).select((F.col("img_id") % 10).alias("clip"), F.posexplode("img").alias("p", "v")).groupBy("clip", "p")
 register("temporal_stats", lambda s, d: _T(s, d).agg(F.floor(F.avg("v") + 0.5).cast("int").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.median("v").alias("mid")), f"WITH {IMG} SELECT CAST(img_id % 10 AS BIGINT) AS clip, y * 8 + x AS p, CAST(floor(avg(v) + 0.5) AS INT) AS mean, min(v) AS low, max(v) AS high, median(v) AS mid FROM img GROUP BY 1, 2")

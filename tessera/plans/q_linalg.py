@@ -21,10 +21,10 @@ def _m(name: str, kernel, digits: int = 6) -> None:
     register(name, query)
 
 
-_small = lambda a: np.asarray(a, float)[:, :3, :3] / 16 + np.eye(3) * 20
-_m("matrix_inverse", lambda a: A.inverse(_small(a)))
-_m("matrix_solve", lambda a: A.solve(np.asarray(a, float)[:, :5, :4] / 16 + np.eye(5, 4) * 20))
-_m("matrix_eigen", lambda a: A.eigen_symmetric(_small(a)))
+_scaled = lambda a: np.asarray(a, float) / 16
+_m("matrix_inverse", lambda a: A.inverse(_scaled(a) + np.eye(SIDE) * 64))
+_m("matrix_solve", lambda a: A.solve((_scaled(a) + np.eye(SIDE) * 64)[:, :, : SIDE - 1]))
+_m("matrix_eigen", lambda a: A.eigen_symmetric(_scaled(a)), 4)
 _m("singular_values", A.singular_values, 4)
 register(
     "matrix_trace_det2",
@@ -35,12 +35,12 @@ _REL = lambda df: df.select(F.col("img_id").alias("i"), (F.col("y") * 8 + F.col(
 
 
 def _gemm(s, d):
-    px = pixels(images(s, d).where("img_id < 64"), F.col("img"))
-    a = _REL(px)
-    return A.multiply(a, a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    """The matrix of all images, a row each, by a fixed one of 64 rows and 8 columns."""
+    b = s.range(512).select(F.floor(F.col("id") / 8).cast("int").alias("i"), (F.col("id") % 8).cast("int").alias("j"))
+    return A.multiply(_REL(pixels(images(s, d), F.col("img"))), b.withColumn("v", ((F.col("i") * 7 + F.col("j") * 3) % 11 - 5).cast("bigint")))
 
 
-register("matrix_multiply", _gemm, f"WITH {IMG} SELECT a.img_id AS i, b.img_id AS j, CAST(sum(CAST(a.v AS BIGINT) * b.v) AS BIGINT) AS v FROM img a JOIN img b ON a.y = b.y AND a.x = b.x WHERE a.img_id < 64 AND b.img_id < 64 GROUP BY 1, 2")
+register("matrix_multiply", _gemm, f"WITH {IMG} SELECT img_id AS i, j, CAST(sum(v * (((y * 8 + x) * 7 + j * 3) % 11 - 5)) AS BIGINT) AS v FROM img, (SELECT CAST(range AS INT) AS j FROM range(8)) c GROUP BY 1, 2")
 register("gram_matrix", lambda s, d: A.gram(images(s, d), "img_id", "img"), f"WITH {IMG} SELECT a.y * 8 + a.x AS i, b.y * 8 + b.x AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM img a JOIN img b ON a.img_id = b.img_id GROUP BY 1, 2")
 
 # masks as sets of foreground coordinates

@@ -52,16 +52,26 @@ def _shift(df):
 
 
 register("radius_l2", lambda s, d: S.radius(_queries(s, d), _vecs(s, d), 1.2, "l2", skip_self=True).withColumn("dist", F.round("dist", 6)), f"WITH {_pairs_sql('l2')} SELECT query_id, nbr_id, round(dist, 6) AS dist FROM p WHERE dist <= 1.2")
-register("ratio_test", lambda s, d: S.ratio_test(S.knn(_queries(s, d), _vecs(s, d), 2, "l2", skip_self=True), 0.9).withColumn("dist", F.round("dist", 6)), f"WITH {_pairs_sql('l2')}, r AS (SELECT *, row_number() OVER w AS rank, lead(dist) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY query_id ORDER BY dist, nbr_id)) SELECT query_id, nbr_id, round(dist, 6) AS dist FROM r WHERE rank = 1 AND dist < 0.9 * nxt")
-_EVEN, _ODD = "vec_id % 2 = 0", "vec_id % 2 = 1"
+register("ratio_test", lambda s, d: S.ratio_test(S.knn(_queries(s, d), _vecs(s, d), 2, "l2", skip_self=True), 0.97).withColumn("dist", F.round("dist", 6)), f"WITH {_pairs_sql('l2')}, r AS (SELECT *, row_number() OVER w AS rank, lead(dist) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY query_id ORDER BY dist, nbr_id)) SELECT query_id, nbr_id, round(dist, 6) AS dist FROM r WHERE rank = 1 AND dist < 0.97 * nxt")
 
 
 def _cross(s, d):
-    a, b = _vecs(s, d).where("id % 2 = 0"), _vecs(s, d).where("id % 2 = 1")
-    return S.cross_check(S.knn(a, b, 1), S.knn(b, a, 1)).withColumn("dist", F.round("dist", 6))
+    base = _vecs(s, d)
+    there = S.knn(_queries(s, d), base, 1, skip_self=True)
+    back = S.knn(base.join(there.select(F.col("nbr_id").alias("id")).distinct(), "id", "left_semi"), base, 1, skip_self=True)
+    return S.cross_check(there, back).withColumn("dist", F.round("dist", 6))
 
 
-register("cross_check", _cross, f"WITH {_pairs_sql('l2', 'q.vec_id % 2 = 0 AND b.vec_id % 2 = 1')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, nbr_id) AS f, row_number() OVER (PARTITION BY nbr_id ORDER BY dist, query_id) AS g FROM p) SELECT query_id, nbr_id, round(dist, 6) AS dist FROM r WHERE f = 1 AND g = 1")
+def _best(pairs: str) -> str:
+    return f"(SELECT query_id, nbr_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, nbr_id) AS r FROM {pairs}) t WHERE r = 1)"
+
+
+register(
+    "cross_check",
+    _cross,
+    f"WITH {_pairs_sql('l2')}, f AS {_best('p')}, p2 AS (SELECT q.vec_id AS query_id, b.vec_id AS nbr_id, round({_DIST['l2']}, 9) AS dist FROM e q JOIN e b ON q.i = b.i "
+    f"WHERE q.vec_id IN (SELECT nbr_id FROM f) AND q.vec_id <> b.vec_id GROUP BY 1, 2), g AS {_best('p2')} SELECT f.query_id, f.nbr_id, round(f.dist, 6) AS dist FROM f JOIN g ON g.query_id = f.nbr_id AND g.nbr_id = f.query_id",
+)
 register("vector_distances", lambda s, d: _dists(s, d), f"WITH {_E} SELECT q.vec_id AS id, {', '.join(f'round({e}, 6) AS {n}' for n, e in _DIST.items() if n != 'chi_square')}, round(pow(sum(pow(abs(q.v - b.v), 3)), 1 / 3.0::DOUBLE), 6) AS minkowski FROM e q JOIN e b ON q.i = b.i AND b.vec_id = q.vec_id + 1 GROUP BY 1")
 
 
@@ -83,8 +93,8 @@ register("knn_classify", _knn_class, f"WITH {_pairs_sql('l2')}, r AS (SELECT *,
 _AH = lambda s, d: images(s, d).withColumn("total", F.aggregate("img", F.lit(0), lambda a, v: a + v)).select(F.col("img_id").alias("id"), S.bits_of(F.col("img"), lambda v, i: v * 64 > F.col("total")).alias("code"))
 _AHS = f"{IMG}, h AS (SELECT img_id AS id, string_agg(CASE WHEN 64 * v > t THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM (SELECT *, sum(v) OVER (PARTITION BY img_id) AS t FROM img) z GROUP BY img_id)"
 register("ahash", lambda s, d: _AH(s, d).select("id", F.lpad(F.bin("code"), 64, "0").alias("bits")), f"WITH {_AHS} SELECT id, bits FROM h")
-register("ahash_pairs", lambda s, d: S.near_codes(_AH(s, d), 12), f"WITH {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits) SELECT a.id AS a, b.id AS b, CAST(hamming(a.bits, b.bits) AS INT) AS dist FROM u a JOIN u b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 12")
-register("dup_groups", lambda s, d: S.near_groups(_AH(s, d), 18), f"WITH RECURSIVE {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits), e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND hamming(a.bits, b.bits) <= 18), r AS (SELECT id, id AS g FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id) SELECT id, min(g) AS group_id FROM r GROUP BY id")
-register("lsh_knn", lambda s, d: S.lsh_knn(_AH(s, d).where("id % 20 = 0"), _AH(s, d), 3, 8, 8), f"WITH {_AHS}, k AS (SELECT id, bits, CAST(b.range AS INT) AS band, substr(bits, CAST(1 + 8 * b.range AS BIGINT), 8) AS key FROM h, range(8) b), c AS (SELECT DISTINCT q.id AS query_id, b.id AS nbr_id, CAST(hamming(q.bits, b.bits) AS INT) AS dist FROM k q JOIN k b ON q.band = b.band AND q.key = b.key WHERE q.id % 20 = 0 AND q.id <> b.id) SELECT query_id, CAST(rank AS INT) AS rank, nbr_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, nbr_id) AS rank FROM c) t WHERE rank <= 3")
+register("ahash_pairs", lambda s, d: S.near_codes(_AH(s, d), 18), f"WITH {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits) SELECT a.id AS a, b.id AS b, CAST(hamming(a.bits, b.bits) AS INT) AS dist FROM u a JOIN u b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 18 UNION ALL SELECT u.id, h.id, 0 FROM u JOIN h ON h.bits = u.bits AND h.id > u.id")
+register("dup_groups", lambda s, d: S.near_groups(_AH(s, d), 18), f"WITH RECURSIVE {_AHS}, u AS (SELECT bits, min(id) AS id FROM h GROUP BY bits), e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND hamming(a.bits, b.bits) <= 18), r AS (SELECT id, id AS g FROM u UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(g) AS group_id FROM r GROUP BY id) SELECT h.id, l.group_id FROM h JOIN u ON u.bits = h.bits JOIN l ON l.id = u.id")
+register("lsh_knn", lambda s, d: S.lsh_knn(_AH(s, d).where("id % 20 = 0"), _AH(s, d), 3, 8, 8, 1), f"WITH {_AHS}, k AS (SELECT id, bits, CAST(b.range AS INT) AS band, substr(bits, CAST(1 + 8 * b.range AS BIGINT), 8) AS key FROM h, range(8) b), c AS (SELECT DISTINCT q.id AS query_id, b.id AS nbr_id, CAST(hamming(q.bits, b.bits) AS INT) AS dist FROM k q JOIN k b ON q.band = b.band AND hamming(q.key, b.key) <= 1 WHERE q.id % 20 = 0 AND q.id <> b.id) SELECT query_id, CAST(rank AS INT) AS rank, nbr_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, nbr_id) AS rank FROM c) t WHERE rank <= 3")
 register("dhash", lambda s, d: images(s, d).select(F.col("img_id").alias("id"), F.lpad(F.bin(S.bits_of(F.col("img"), lambda v, i: F.coalesce(v < F.get("img", i + 1), F.lit(False)) & (i % 8 < 7))), 64, "0").alias("bits")), f"WITH {IMG} SELECT img_id AS id, string_agg(CASE WHEN x < 7 AND v < nxt THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM (SELECT *, lead(v) OVER (PARTITION BY img_id ORDER BY y, x) AS nxt FROM img) z GROUP BY img_id")
 register("mhash", lambda s, d: images(s, d).withColumn("mid", F.get(F.array_sort("img"), 32)).select(F.col("img_id").alias("id"), F.lpad(F.bin(S.bits_of(F.col("img"), lambda v, i: v > F.col("mid"))), 64, "0").alias("bits")), f"WITH {IMG}, m AS (SELECT img_id, list_sort(list(v))[33] AS mid FROM img GROUP BY 1) SELECT img_id AS id, string_agg(CASE WHEN v > mid THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM img JOIN m USING (img_id) GROUP BY img_id")

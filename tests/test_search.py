@@ -22,3 +22,31 @@ def test_bands_are_disjoint_and_cover_the_code(spark):
     codes = spark.createDataFrame([(i, (1 << i) - (1 << 64) * (i == 63)) for i in range(64)], "id bigint, code bigint")
     for bands in (1, 13, 19, 64, 65):
         assert S.band_keys(codes, bands, 64).where("key <> 0").count() == 64
+
+
+def test_recall_of_bucket_search(spark):
+    """At least 0.9 of the three nearest codes, by distance, of every twentieth image among all."""
+    from tessera.plans import q_search
+
+    codes = q_search._AH(spark, "/root/testdata/sf0.01")
+    queries = codes.where("id % 20 = 0")
+    bits = lambda df: df.selectExpr("id", "array(code) AS vec")
+    exact = S.knn(bits(queries), bits(codes), 3, "hamming", skip_self=True).where("rank = 3").collect()
+    third = {r.query_id: r.dist for r in exact}
+    found = S.lsh_knn(queries, codes, 3, 8, 8, 1).collect()
+    assert sum(r.dist <= third[r.query_id] for r in found) >= 0.9 * 3 * len(third)
+
+
+def test_a_task_sends_k_rows_a_query(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(900)], "id bigint, vec array<double>").repartition(3)
+    sent = S._scan(base, base, "l2", True, 5)
+    assert sent.count() <= 3 * 5 * 900
+    got = {(r.query_id, r["rank"]): r.nbr_id for r in S.knn(base, base, 5, skip_self=True).collect()}
+    rows = {r.id: np.array(r.vec) for r in base.collect()}
+    m = np.stack([rows[i] for i in range(900)])
+    d = np.round(np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)), 9)
+    np.fill_diagonal(d, np.inf)
+    assert all(got[i, k + 1] == j for i in range(0, 900, 37) for k, j in enumerate(np.argsort(d[i], kind="stable")[:5]))
