@@ -30,7 +30,8 @@ def test_recall_of_bucket_search(spark):
 
     codes = q_search._AH(spark, "/root/testdata/sf0.01")
     queries = codes.where("id % 20 = 0")
-    bits = lambda df: df.selectExpr("id", "array(code) AS vec")
+    # halves: a double has no room for 64 bits
+    bits = lambda df: df.selectExpr("id", "array(shiftrightunsigned(code, 32), code & 4294967295L) AS vec")
     exact = S.knn(bits(queries), bits(codes), 3, "hamming", skip_self=True).where("rank = 3").collect()
     third = {r.query_id: r.dist for r in exact}
     found = S.lsh_knn(queries, codes, 3, 8, 8, 1).collect()
