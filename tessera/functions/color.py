@@ -80,6 +80,64 @@ def lab(r: Column, g: Column, b: Column, linear: bool = False) -> tuple[Column,
     return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
 
 
+# CIE XYZ, D65, to linear sRGB.
+RGB_OF_XYZ = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875992, 0.041556), (0.055648, -0.204043, 1.057311))
+
+
+def _wrap(x: Column, period: float) -> Column:
+    return x - F.floor(x / period) * period
+
+
+def rgb_of_hsv(h: Column, s: Column, v: Column) -> tuple[Column, ...]:
+    """Channels as :func:`hsv` gives them. A channel falls short of the value by saturation times how far the hue is away."""
+    value, chroma = v / 255.0, v / 255.0 * (s / 255.0)
+
+    def channel(n: int) -> Column:
+        k = _wrap(h / 30.0 + n, 6.0)
+        return u8((value - chroma * F.greatest(F.lit(0.0), F.least(k, 4.0 - k, F.lit(1.0)))) * 255)
+
+    return channel(5), channel(3), channel(1)
+
+
+def rgb_of_hls(h: Column, l: Column, s: Column) -> tuple[Column, ...]:  # noqa: E741
+    """Channels as :func:`hls` gives them."""
+    light = l / 255.0
+    swing = s / 255.0 * F.least(light, 1.0 - light)
+
+    def channel(n: int) -> Column:
+        k = _wrap(h / 15.0 + n, 12.0)
+        return u8((light - swing * F.greatest(F.lit(-1.0), F.least(k - 3.0, 9.0 - k, F.lit(1.0)))) * 255)
+
+    return channel(0), channel(8), channel(4)
+
+
+def rgb_of_ycrcb(y: Column, cr: Column, cb: Column) -> tuple[Column, ...]:
+    return u8(y + (cr - 128) * 1.403), u8(y - (cr - 128) * 0.714 - (cb - 128) * 0.344), u8(y + (cb - 128) * 1.773)
+
+
+def rgb_of_yuv(y: Column, u: Column, v: Column) -> tuple[Column, ...]:
+    return u8(y + (v - 128) * 1.13983), u8(y - (u - 128) * 0.39465 - (v - 128) * 0.58060), u8(y + (u - 128) * 2.03211)
+
+
+def rgb_of_xyz(x: Column, y: Column, z: Column) -> tuple[Column, ...]:
+    return tuple(u8(x * m[0] + y * m[1] + z * m[2]) for m in RGB_OF_XYZ)
+
+
+def rgb_of_lab(l: Column, a: Column, b: Column) -> tuple[Column, ...]:  # noqa: E741
+    """From 8-bit channels: L* in 255ths of 100, a* and b* from -128."""
+    fy = (l * 100.0 / 255 + 16) / 116
+
+    def back(t: Column) -> Column:
+        return F.when(t * t * t > 0.008856, t * t * t).otherwise((t - 16 / 116) / 7.787)
+
+    xyz_ = [back(t) * w for t, w in zip((fy + (a - 128) / 500.0, fy, fy - (b - 128) / 200.0), WHITE, strict=True)]
+    return tuple(u8((xyz_[0] * m[0] + xyz_[1] * m[1] + xyz_[2] * m[2]) * 255) for m in RGB_OF_XYZ)
+
+
+def rgb_of_cmyk(c: Column, m: Column, y: Column, k: Column) -> tuple[Column, ...]:
+    return tuple(u8((1 - p / 255.0) * (1 - k / 255.0) * 255) for p in (c, m, y))
+
+
 def sepia(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return u8(r * 0.393 + g * 0.769 + b * 0.189), u8(r * 0.349 + g * 0.686 + b * 0.168), u8(r * 0.272 + g * 0.534 + b * 0.131)
 

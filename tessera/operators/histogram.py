@@ -75,6 +75,40 @@ def kapur(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _best(m, keys, F.round(score, 9))
 
 
+def yen(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., t): the first bin that maximises the correlation of both classes."""
+    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys)
+    n = F.col("n").cast("double")
+    m = hist.withColumns({"w0": F.sum(n).over(up), "q0": F.sum(n * n).over(up), "w": F.sum(n).over(w), "q": F.sum(n * n).over(w)}).where("w0 > 0 and w0 < w and q0 > 0 and q0 < q")
+    rest = F.col("w") - F.col("w0")
+    return _best(m, keys, F.round(2 * F.log(F.col("w0") * rest) - F.log(F.col("q0") * (F.col("q") - F.col("q0"))), 9))
+
+
+def cross_entropy(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., t): the first bin that minimises the cross entropy of the histogram and its two class means; levels
+    count from 1, so that black has a logarithm."""
+    m = _moments(hist.withColumn("bin", F.col("bin") + 1), keys).where("w0 > 0 and w0 < w")
+    s0, s1 = F.col("s0").cast("double"), (F.col("s") - F.col("s0")).cast("double")
+    m = m.withColumns({"gain": s0 * F.log(s0 / F.col("w0")) + s1 * F.log(s1 / (F.col("w") - F.col("w0"))), "bin": F.col("bin") - 1})
+    return _best(m, keys, F.round("gain", 6))
+
+
+def minimum_error(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., t): the first bin at which two normal distributions explain the histogram best; both classes vary."""
+    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys)
+    square = F.col("bin") * F.col("bin") * F.col("n")
+    m = _moments(hist, keys).withColumns({"q0": F.sum(square).over(up), "q": F.sum(square).over(w)}).where("w0 > 0 and w0 < w")
+    # n times the sum of squared differences from the mean: whole numbers
+    d0 = F.col("w0") * F.col("q0") - F.col("s0") * F.col("s0")
+    w1, s1 = F.col("w") - F.col("w0"), F.col("s") - F.col("s0")
+    d1 = w1 * (F.col("q") - F.col("q0")) - s1 * s1
+    m = m.withColumns({"d0": d0, "d1": d1, "w1": w1}).where("d0 > 0 and d1 > 0")
+    cost = sum((F.col(a) * (F.log(F.sqrt(F.col(d).cast("double")) / F.col(a)) - F.log(F.col(a) / F.col("w"))) for a, d in (("w0", "d0"), ("w1", "d1"))), F.lit(0.0))
+    return _best(m, keys, F.round(-cost / F.col("w"), 9))
+
+
 def percentile_bin(hist: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
     """(keys..., t): the first bin at which the running count reaches ``share`` of all."""
     c = cumulative(hist, keys).where(F.col("cdf") >= share * F.col("total"))

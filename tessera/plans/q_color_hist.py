@@ -44,6 +44,23 @@ _KX = ", x AS (SELECT *, 1 - greatest(r, g, b) / 255.0::DOUBLE AS k FROM rgb)"
 _c("color_cmyk", K.cmyk, ["c", "m", "y", "k2"], [*(f"CASE WHEN k >= 1 THEN 0 ELSE {u8(f'(1 - {x} / 255.0::DOUBLE - k) / nullif(1 - k, 0) * 255')} END" for x in "rgb"), u8("k * 255")], _KX)
 
 
+# inverses: the three columns taken as channels of the other space, hue in 0..179
+_R2 = ["r2", "g2", "b2"]
+_wrap = lambda x, p: f"({x} - floor({x} / {p}::DOUBLE) * {p})"
+_hue = lambda step, n, p: _wrap(f"((r % 180) / {step}::DOUBLE + {n})", p)
+_D = "{} / 255.0::DOUBLE"
+_SV = [u8(f"({_D.format('b')} - {_D.format('b')} * ({_D.format('g')}) * greatest(0.0::DOUBLE, least({_hue(30, n, 6)}, 4 - {_hue(30, n, 6)}, 1.0::DOUBLE))) * 255") for n in (5, 3, 1)]
+_c("color_rgb_of_hsv", lambda r, g, b: K.rgb_of_hsv(r % 180, g, b), _R2, _SV)
+_LS = [u8(f"({_D.format('g')} - {_D.format('b')} * least({_D.format('g')}, 1 - {_D.format('g')}) * greatest(-1.0::DOUBLE, least({_hue(15, n, 12)} - 3, 9 - {_hue(15, n, 12)}, 1.0::DOUBLE))) * 255") for n in (0, 8, 4)]
+_c("color_rgb_of_hls", lambda r, g, b: K.rgb_of_hls(r % 180, g, b), _R2, _LS)
+_c("color_rgb_of_ycrcb", K.rgb_of_ycrcb, _R2, [u8("r + (g - 128) * 1.403::DOUBLE"), u8("r - (g - 128) * 0.714::DOUBLE - (b - 128) * 0.344::DOUBLE"), u8("r + (b - 128) * 1.773::DOUBLE")])
+_c("color_rgb_of_yuv", K.rgb_of_yuv, _R2, [u8("r + (b - 128) * 1.13983::DOUBLE"), u8("r - (g - 128) * 0.39465::DOUBLE - (b - 128) * 0.58060::DOUBLE"), u8("r + (g - 128) * 2.03211::DOUBLE")])
+_c("color_rgb_of_xyz", K.rgb_of_xyz, _R2, [u8(f"r * {m[0]}::DOUBLE + g * ({m[1]})::DOUBLE + b * ({m[2]})::DOUBLE") for m in K.RGB_OF_XYZ])
+_F3 = ", t AS (SELECT *, (r * 100.0::DOUBLE / 255 + 16) / 116 AS fy FROM rgb), f AS (SELECT *, fy + (g - 128) / 500.0::DOUBLE AS fx, fy - (b - 128) / 200.0::DOUBLE AS fz FROM t), x AS (SELECT *, " + ", ".join(f"CASE WHEN f{n} * f{n} * f{n} > 0.008856 THEN f{n} * f{n} * f{n} ELSE (f{n} - 16 / 116.0::DOUBLE) / 7.787::DOUBLE END * {w}::DOUBLE AS l{n}" for n, w in zip("xyz", K.WHITE, strict=True)) + " FROM f)"
+_c("color_rgb_of_lab", K.rgb_of_lab, _R2, [u8(f"(lx * ({m[0]})::DOUBLE + ly * ({m[1]})::DOUBLE + lz * ({m[2]})::DOUBLE) * 255") for m in K.RGB_OF_XYZ], _F3)
+_c("color_rgb_of_cmyk", lambda r, g, b: K.rgb_of_cmyk(r, g, b, F.abs(r - g)), _R2, [u8(f"(1 - {x} / 255.0::DOUBLE) * (1 - abs(r - g) / 255.0::DOUBLE) * 255") for x in "rgb"])
+
+
 def _fsql(m, w) -> str:
     t = f"((r / 255.0::DOUBLE * {m[0]}::DOUBLE + g / 255.0::DOUBLE * {m[1]}::DOUBLE + b / 255.0::DOUBLE * {m[2]}::DOUBLE) / {w}::DOUBLE)"
     return f"CASE WHEN {t} > 0.008856 THEN pow({t}, 1 / 3.0::DOUBLE) ELSE 7.787::DOUBLE * {t} + 16 / 116.0::DOUBLE END"
@@ -76,6 +93,9 @@ _PICK = "SELECT k, CAST(arg_max(bin, (score, -bin)) AS INT) AS t FROM z GROUP BY
 register("otsu", lambda s, d: H.otsu(_PHIST(s, d), ["k"]), f"WITH {_PSQL}{_MOM}, z AS (SELECT k, bin, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 6) AS score FROM m WHERE w0 > 0 AND w0 < w) {_PICK}")
 register("isodata", lambda s, d: H.isodata(_PHIST(s, d), ["k"]), f"WITH {_PSQL}{_MOM}, z AS (SELECT k, bin, -abs(floor((s0 / w0 + (s - s0) / (w - w0)) / 2) - bin) AS score FROM m WHERE w0 > 0 AND w0 < w) {_PICK}")
 register("kapur", lambda s, d: H.kapur(_PHIST(s, d), ["k"]), f"WITH {_PSQL}, p AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY k) AS p FROM h), e AS (SELECT *, CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END AS e FROM p), m AS (SELECT *, sum(p) OVER u AS p0, sum(e) OVER u AS e0, sum(e) OVER a AS e1, sum(n) OVER u AS w0, sum(n) OVER a AS w FROM e WINDOW u AS (PARTITION BY k ORDER BY bin), a AS (PARTITION BY k)), z AS (SELECT k, bin, round(ln(p0) - e0 / p0 + ln(1 - p0) - (e1 - e0) / (1 - p0), 9) AS score FROM m WHERE w0 > 0 AND w0 < w) {_PICK}")
+register("yen", lambda s, d: H.yen(_PHIST(s, d), ["k"]), f"WITH {_PSQL}, m AS (SELECT *, sum(CAST(n AS DOUBLE)) OVER u AS w0, sum(CAST(n AS DOUBLE) * n) OVER u AS q0, sum(CAST(n AS DOUBLE)) OVER a AS w, sum(CAST(n AS DOUBLE) * n) OVER a AS q FROM h WINDOW u AS (PARTITION BY k ORDER BY bin), a AS (PARTITION BY k)), z AS (SELECT k, bin, round(2 * ln(w0 * (w - w0)) - ln(q0 * (q - q0)), 9) AS score FROM m WHERE w0 > 0 AND w0 < w AND q0 > 0 AND q0 < q) {_PICK}")
+register("cross_entropy", lambda s, d: H.cross_entropy(_PHIST(s, d), ["k"]), f"WITH {_PSQL}, m AS (SELECT *, CAST(sum(n) OVER u AS DOUBLE) AS w0, CAST(sum((bin + 1) * n) OVER u AS DOUBLE) AS s0, CAST(sum(n) OVER a AS DOUBLE) AS w, CAST(sum((bin + 1) * n) OVER a AS DOUBLE) AS s FROM h WINDOW u AS (PARTITION BY k ORDER BY bin), a AS (PARTITION BY k)), z AS (SELECT k, bin, round(s0 * ln(s0 / w0) + (s - s0) * ln((s - s0) / (w - w0)), 6) AS score FROM m WHERE w0 > 0 AND w0 < w) {_PICK}")
+register("minimum_error", lambda s, d: H.minimum_error(_PHIST(s, d), ["k"]), f"WITH {_PSQL}, m AS (SELECT *, CAST(sum(n) OVER u AS DOUBLE) AS w0, CAST(sum(bin * n) OVER u AS DOUBLE) AS s0, CAST(sum(bin * bin * n) OVER u AS DOUBLE) AS q0, CAST(sum(n) OVER a AS DOUBLE) AS w, CAST(sum(bin * n) OVER a AS DOUBLE) AS s, CAST(sum(bin * bin * n) OVER a AS DOUBLE) AS q FROM h WINDOW u AS (PARTITION BY k ORDER BY bin), a AS (PARTITION BY k)), v AS (SELECT *, w - w0 AS w1, w0 * q0 - s0 * s0 AS d0, (w - w0) * (q - q0) - (s - s0) * (s - s0) AS d1 FROM m WHERE w0 > 0 AND w0 < w), z AS (SELECT k, bin, round(-(w0 * (ln(sqrt(d0) / w0) - ln(w0 / w)) + w1 * (ln(sqrt(d1) / w1) - ln(w1 / w))) / w, 9) AS score FROM v WHERE d0 > 0 AND d1 > 0) {_PICK}")
 register("triangle", lambda s, d: H.triangle(_PHIST(s, d), ["k"]), f"WITH {_PSQL}, a AS (SELECT *, min(CASE WHEN n > 0 THEN bin END) OVER w AS lo, max(CASE WHEN n > 0 THEN bin END) OVER w AS hi, max(n) OVER w AS top FROM h WINDOW w AS (PARTITION BY k)), b AS (SELECT *, min(CASE WHEN n = top THEN bin END) OVER (PARTITION BY k) AS peak FROM a), c AS (SELECT *, CASE WHEN peak - lo > hi - peak THEN lo ELSE hi END AS e FROM b), z AS (SELECT k, bin, abs((e - peak) * (n - top) + top * (bin - peak)) AS score FROM c WHERE bin BETWEEN least(peak, e) AND greatest(peak, e)) {_PICK}")
 register("percentile_threshold", lambda s, d: H.percentile_bin(_PHIST(s, d), ["k"], 0.9), f"WITH {_PSQL}{_CUM} SELECT k, min(bin) AS t FROM c2 WHERE cdf >= 0.9 * total GROUP BY k")
 
