@@ -2,6 +2,10 @@
 
 A stage reads all its predecessor kept, and its decisions take effect: rows that it rejects are gone. Every stage but
 the last returns the columns of ``documents``. Each result is written as Parquet and read again by the next stage.
+
+A null text counts as empty and fails the rules, as does one of less than 50 words. Rows with a null id are judged as
+others are; where one of several has to stay, they come after all ids. Repeated rows are copies of each other. Labels
+of null ids teach nothing. Empty tables give an empty result, and columns beside those used may have any name.
 """
 
 from __future__ import annotations
