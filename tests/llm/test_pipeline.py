@@ -1,11 +1,13 @@
 """The pipeline's stages against brute force on a small corpus, each judged on its own input."""
 
 import random
+import zlib
 
 import pytest
-from llm.fixtures import brute_components, pairs, shingles
+from llm.fixtures import awkward_docs, brute_components, no_docs, pairs, shingles
 
 import corpus_pipeline as CP
+from tessera.llm import quality_cnn
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +38,9 @@ def test_stages(spark, sf_dir):
             assert {d for d, _ in pairs(out)} >= set(range(80)) and not {d for d, _ in pairs(out)} & set(range(100, 120))
         elif name == "quality_classifier":
             assert {d for d, _ in pairs(out)} >= set(range(3, 80))
+            learned = [(t or "", int(d < 100), d) for d, t in sorted(pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))) if d < 120 and d % 2 == 0 and zlib.crc32(str(d).encode()) % 5]
+            net = quality_cnn.fit([t for t, _, _ in learned], [y for _, y, _ in learned], [1.0] * len(learned))
+            assert sorted(d for d, _ in pairs(out)) == sorted(d for d, t in rows if net.score(t or "") >= 0.3)
         elif name == "exact_dedup":
             best = {}
             for d, t in rows:
@@ -53,6 +58,15 @@ def test_stages(spark, sf_dir):
         docs = spark.read.parquet(path)
 
 
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    for name, docs in (("some", awkward_docs(spark)), ("none", no_docs(spark))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(0, 1, 0), (3, 1, 0), (7, 0, 0), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        ids = {r.doc_id for r in CP.run(spark, d).collect()}
+        assert ids <= {r.doc_id for r in docs.collect()} and bool(ids) == (name == "some")
+
+
 def test_run(spark, sf_dir):
     assert CP.run(spark, sf_dir).select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/out-packing").select("doc_id").distinct().count()
 

@@ -50,6 +50,9 @@ def test_ratio_matches_brute_force(spark):
     weight = np.log((hit + Q.SMOOTHING) / (raw * hit.sum() / raw.sum() + Q.SMOOTHING))
     for r in Q.quality_rules(docs, target).collect():
         assert r.llr == pytest.approx(np.mean([weight[of[g]] for g in grams[r.doc_id]]), abs=1e-9)
+    middle = float(np.median([np.mean([weight[of[g]] for g in v]) for v in grams.values()])) + 1e-12
+    judged = Q.quality_rules(docs, target, threshold=middle).collect()
+    assert {r.kept for r in judged} == {True, False} and all(r.kept == (not r.base_failed and r.llr >= middle) for r in judged)
 
 
 def test_awkward_rows_and_empty_tables(spark):
