@@ -160,3 +160,8 @@ def phase(x: Num, y: Num) -> Column:
 def from_unit(img: Column, low: float, high: float) -> Column:
     """Quantise a packed array of numbers in [low, high] to 8 bits."""
     return F.transform(img, lambda e: u8((e.cast("double") - low) / (high - low) * 255))
+
+
+def polar_to_cart(magnitude: Num, degrees: Num) -> tuple[Column, Column]:
+    """(x, y) of a length and an angle, elementwise on numbers."""
+    return _c(magnitude) * F.cos(F.radians(_c(degrees))), _c(magnitude) * F.sin(F.radians(_c(degrees)))

@@ -156,3 +156,53 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.when((F.col("p") > 0) & (F.col("q") > 0), x * F.log(x / F.nullif(y, F.lit(0.0)))).when(F.col("p") > 0, float("inf")).otherwise(0.0)).alias("kl"),
         F.sum(F.abs("up")).alias("emd"),
     )
+
+
+def summary(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., mean, variance, peak): moments of the bins and the first fullest bin; null for an empty histogram."""
+    n, b = F.col("n").cast("double"), F.col("bin")
+    mean = F.sum(b * n) / F.nullif(F.sum(n), F.lit(0.0))
+    var = F.sum(b * b * n) / F.nullif(F.sum(n), F.lit(0.0)) - mean * mean
+    peak = F.when(F.max("n") > 0, -F.max(F.struct(F.col("n"), (-b).alias("b")))["b"])
+    return (hist.groupBy(*keys) if keys else hist.groupBy()).agg(mean.alias("mean"), var.alias("variance"), peak.alias("peak"))
+
+
+def back_project_map(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., bin, v): each bin's count, the fullest bin's being 255; all 0 for an empty histogram."""
+    top = F.max("n").over(Window.partitionBy(*keys))
+    v = F.coalesce(F.floor(F.col("n").cast("double") / F.nullif(top, F.lit(0)) * 255 + 0.5), F.lit(0)).cast("int")
+    return hist.select(*keys, "bin", v.alias("v"))
+
+
+def match_map(hist: DataFrame, target: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """(keys..., bin, v): the first bin of ``target`` at which its share of counts reaches that of ``hist`` at bin.
+    Shares are compared as whole numbers. Groups without a target keep their bins."""
+    run = cumulative(target, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "cdf"))), lambda r: r["cdf"]).alias("_cdf"), F.max("total").alias("_total"))
+    below = F.size(F.filter("_cdf", lambda c: c * F.col("total") < F.col("cdf") * F.col("_total")))
+    v = F.when(F.col("_cdf").isNull(), F.col("bin")).otherwise(F.least(below, F.lit(bins - 1)))
+    return cumulative(hist, keys).join(run, list(keys), "left").select(*keys, "bin", v.alias("v"))
+
+
+def multi_otsu(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., t1, t2): the first pair of bins t1 < t2 that maximises the variance between three classes. Pairs are
+    bounded by the square of the bins of a group."""
+    m = _moments(hist, keys)
+    a, b = m.select(*keys, F.col("bin").alias("t1"), F.col("w0").alias("wa"), F.col("s0").alias("sa")), m.withColumnRenamed("bin", "t2")
+    j = a.join(b, list(keys)).where("t1 < t2 and wa > 0 and wa < w0 and w0 < w")
+    part = lambda s, n: s.cast("double") * s / n
+    c = F.col
+    score = F.round((part(c("sa"), c("wa")) + part(c("s0") - c("sa"), c("w0") - c("wa")) + part(c("s") - c("s0"), c("w") - c("w0"))) / c("w"), 6)
+    best = j.groupBy(*keys).agg(F.max(F.struct(score.alias("a"), (-c("t1")).alias("b"), (-c("t2")).alias("c"))).alias("_x"))
+    return best.select(*keys, (-c("_x.b")).alias("t1"), (-c("_x.c")).alias("t2"))
+
+
+def divergence(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., chi_square_alt, jensen_shannon) of two histograms bin by bin: symmetric distances, the second of shares
+    in nats. Bins that one side lacks count 0."""
+    j = a.withColumnRenamed("n", "p").join(b.withColumnRenamed("n", "q"), [*keys, "bin"], "full").select(*keys, "bin", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "pq"))
+    w = Window.partitionBy(*keys)
+    j = j.withColumns({"x": F.col("p") / F.nullif(F.sum("p").over(w), F.lit(0.0)), "y": F.col("q") / F.nullif(F.sum("q").over(w), F.lit(0.0))})
+    mid = (F.col("x") + F.col("y")) / 2
+    half = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / mid)).otherwise(0.0)
+    alt = 2 * (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")) / F.nullif(F.col("p") + F.col("q"), F.lit(0.0))
+    return (j.groupBy(*keys) if keys else j.groupBy()).agg(F.sum(F.coalesce(alt, F.lit(0.0))).alias("chi_square_alt"), (F.sum(half("x") + half("y")) / 2).alias("jensen_shannon"))

@@ -348,3 +348,56 @@ def contours(a: np.ndarray) -> np.ndarray:
     on = (a > 0).astype(np.int32)
     inside = R.erode(R.copy_border(on, 1, 1, 1, 1, "constant"), R.cross(3))[:, 1:-1, 1:-1]
     return (on - np.minimum(on, inside)) * 255
+
+
+def _by_label(lab: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """255 where ``keep`` (images, labels) holds for a pixel's label."""
+    return np.where(np.take_along_axis(keep, lab.reshape(len(lab), -1), axis=1).reshape(lab.shape), 255, 0)
+
+
+def component_areas(lab: np.ndarray) -> np.ndarray:
+    """(images, labels) pixel counts of labelled images; that of the background, label 0, counts as 0."""
+    m = int(lab.max(initial=0)) + 1
+    flat = lab.reshape(len(lab), -1) + np.arange(len(lab))[:, None] * m
+    areas = np.bincount(flat.ravel(), minlength=len(lab) * m).reshape(len(lab), m)
+    areas[:, 0] = 0
+    return areas
+
+
+def keep_largest(a: np.ndarray, count: int = 1, connectivity: int = 8) -> np.ndarray:
+    """255 on the ``count`` components of most pixels; of equal ones the lower label stays."""
+    lab = label(a, connectivity)
+    areas = component_areas(lab)
+    rank = np.argsort(np.argsort(-areas, axis=1, kind="stable"), axis=1)
+    return _by_label(lab, (rank < count) & (areas > 0))
+
+
+def filter_area(a: np.ndarray, least: int, most: int | None = None, connectivity: int = 8) -> np.ndarray:
+    """255 on components of ``least`` to ``most`` pixels."""
+    lab = label(a, connectivity)
+    areas = component_areas(lab)
+    return _by_label(lab, (areas >= max(1, least)) & (areas <= (areas.max(initial=0) if most is None else most)))
+
+
+def gradient_similarity(a: np.ndarray, b: np.ndarray, steady: float = 170.0) -> np.ndarray:
+    """Per pixel, how like the Prewitt gradient magnitudes of two images are: 1 where equal. The deviation of this map is
+    a measure of distortion."""
+    ma, mb = (np.hypot(*(g / 3 for g in R.gradients(v, R.PREWITT_X))) for v in (a, b))
+    return (2 * ma * mb + steady) / (ma * ma + mb * mb + steady)
+
+
+def universal_quality(a: np.ndarray, b: np.ndarray, window: int = 8) -> np.ndarray:
+    """(images, 1, 1): the mean over all windows inside the image of 4 cov ma mb / ((va + vb) (ma^2 + mb^2)); 1 where two
+    windows are flat and equal or the quotient has no meaning."""
+    k = min(window, *a.shape[1:])
+    p, q = np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64)
+
+    def total(v: np.ndarray) -> np.ndarray:
+        s = R.integral(v)
+        return s[:, k:, k:] - s[:, :-k, k:] - s[:, k:, :-k] + s[:, :-k, :-k]
+
+    n, free = k * k, max(1, k * k - 1)
+    mp, mq = total(p) / n, total(q) / n
+    vp, vq, cov = (total(p * p) - n * mp * mp) / free, (total(q * q) - n * mq * mq) / free, (total(p * q) - n * mp * mq) / free
+    den = (vp + vq) * (mp * mp + mq * mq)
+    return np.divide(4 * cov * mp * mq, den, out=np.ones_like(den), where=den > 0).mean(axis=(1, 2))[:, None, None]

@@ -91,6 +91,15 @@ def run_lengths(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     return one.groupBy(*keys, "level", "length").agg(F.count("*").alias("n"))
 
 
+def run_features(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Emphases and non-uniformities of :func:`run_lengths`, and the share of runs in pixels; levels count from 0."""
+    n, level, length = F.col("n").cast("double"), F.col("level") + 1, F.col("length")
+    r = runs.withColumns({"_level": F.sum("n").over(Window.partitionBy(*keys, "level")), "_length": F.sum("n").over(Window.partitionBy(*keys, "length"))})
+    total = F.sum(n)
+    parts = {"short_run": n / (length * length), "long_run": n * length * length, "level_nonuniformity": n * F.col("_level"), "length_nonuniformity": n * F.col("_length"), "low_level": n / (level * level), "high_level": n * level * level}
+    return r.groupBy(*keys).agg(*((F.sum(e) / total).alias(name) for name, e in parts.items()), (total / F.sum(n * length)).alias("run_percentage"))
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 

@@ -282,6 +282,42 @@ def bernsen(a: np.ndarray, size: int, contrast: int, otherwise: int = 128) -> np
     return np.where(hi - lo < contrast, np.where(mid >= otherwise, 255, 0), np.where(a >= mid, 255, 0))
 
 
+def window_stats(a: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, sum and sum of squares over the part of each size x size window that lies in the image."""
+    r, v = size // 2, np.asarray(a, dtype=np.float64)
+
+    def total(z: np.ndarray) -> np.ndarray:
+        s = integral(copy_border(z, r, r, r, r, "constant"))
+        return s[:, size:, size:] - s[:, :-size, size:] - s[:, size:, :-size] + s[:, :-size, :-size]
+
+    return total(np.ones_like(v)), total(v), total(v * v)
+
+
+def wolf(a: np.ndarray, size: int, k: float) -> np.ndarray:
+    """Against mean - k (1 - std / greatest std) (mean - least value of the image)."""
+    n, s, q = window_stats(a, size)
+    mean = s / n
+    std = np.sqrt(np.maximum(0, q / n - mean * mean))
+    most = std.max(axis=(1, 2), keepdims=True)
+    low = a.min(axis=(1, 2), keepdims=True)
+    return np.where(a > mean - k * (1 - std / np.where(most == 0, 1, most)) * (mean - low), 255, 0)
+
+
+def nick(a: np.ndarray, size: int, k: float) -> np.ndarray:
+    """Against mean + k sqrt((sum of squares - mean^2) / count)."""
+    n, s, q = window_stats(a, size)
+    mean = s / n
+    return np.where(a > mean + k * np.sqrt(np.maximum(0, (q - mean * mean) / n)), 255, 0)
+
+
+def phansalkar(a: np.ndarray, size: int, k: float = 0.25, r: float = 0.5) -> np.ndarray:
+    """Against mean (1 + 2 exp(-10 mean) + k (std / r - 1)), values taken from 0 to 1."""
+    n, s, q = window_stats(a, size)
+    mean = s / n / 255
+    std = np.sqrt(np.maximum(0, q / n / 65025 - mean * mean))
+    return np.where(a > 255 * mean * (1 + 2 * np.exp(-10 * mean) + k * (std / r - 1)), 255, 0)
+
+
 def integral(a: np.ndarray) -> np.ndarray:
     """(rows + 1) x (cols + 1) sums of all pixels above and to the left."""
     out = np.zeros((a.shape[0], a.shape[1] + 1, a.shape[2] + 1), dtype=np.float64 if a.dtype.kind == "f" else np.int64)

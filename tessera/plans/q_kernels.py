@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
 from tessera.operators import raster as R
-from tessera.plans.common import IMG, SIDE, image_pairs, images
+from tessera.plans.common import _PAIRS, IMG, SIDE, image_pairs, images, u8
 from tessera.plans.registry import register
 
 N = SIDE
@@ -42,18 +42,21 @@ _q("region_outlines", lambda a: K.contours(np.where(a > 140, 255, 0)), f"WITH {I
 _COS = "b AS (SELECT CAST(k.range AS INT) AS k, CAST(n.range AS INT) AS n, cos(pi() * (2 * n.range + 1) * k.range / 16) * CASE WHEN k.range = 0 THEN sqrt(0.125::DOUBLE) ELSE 0.5 END AS c FROM range(8) k, range(8) n)"
 _q("dct_2d", K.dct2, f"WITH {IMG}, {_COS} SELECT img_id, cy.k AS y, cx.k AS x, round(sum(v * cy.c * cx.c) + 0.0, 4) + 0.0 AS v FROM img JOIN b cy ON cy.n = y JOIN b cx ON cx.n = x GROUP BY 1, 2, 3", "double", 4)
 _q("dft_magnitude", K.dft_magnitude, f"WITH {IMG}, f AS (SELECT img_id, u.range AS u, w.range AS w, sum(v * cos(pi() * (u.range * y + w.range * x) / 4)) AS re, sum(v * sin(pi() * (u.range * y + w.range * x) / 4)) AS im FROM img, range(8) u, range(8) w GROUP BY 1, 2, 3) SELECT img_id, CAST(u AS INT) AS y, CAST(w AS INT) AS x, round(sqrt(re * re + im * im), 4) AS v FROM f", "double", 4)
-_q("haar_wavelet", K.haar, None, "double", 6)
+_q("haar_wavelet", K.haar, f"WITH {IMG} SELECT img_id, CAST(y // 2 + 4 * ky AS INT) AS y, CAST(x // 2 + 4 * kx AS INT) AS x, sum(v * (1 - 2 * ky * (y % 2)) * (1 - 2 * kx * (x % 2))) / 4.0::DOUBLE AS v FROM img, (VALUES (0), (1)) a(ky), (VALUES (0), (1)) b(kx) GROUP BY 1, 2, 3", "double", 6)
 _q("template_sqdiff", lambda a: K.match_template(a, np.array([[120, 130], [130, 140]]), "sqdiff"), f"WITH {IMG}, t(dy, dx, w) AS (VALUES (0,0,120),(0,1,130),(1,0,130),(1,1,140)) SELECT p.img_id, p.y, p.x, CAST(sum((q.v - w) * (q.v - w)) AS INT) AS v FROM img p CROSS JOIN t JOIN img q ON q.img_id = p.img_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.y < 7 AND p.x < 7 GROUP BY 1, 2, 3")
 _q("template_ncc", lambda a: K.match_template(a, np.array([[120, 130], [130, 140]]), "ncc"), f"WITH {IMG}, t(dy, dx, w) AS (VALUES (0,0,-10.0::DOUBLE),(0,1,0.0),(1,0,0.0),(1,1,10.0)), m AS (SELECT p.img_id, p.y, p.x, sum(q.v * w) AS num, sum(CAST(q.v * q.v AS DOUBLE)) - sum(q.v) * sum(q.v) / 4.0::DOUBLE AS e FROM img p CROSS JOIN t JOIN img q ON q.img_id = p.img_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.y < 7 AND p.x < 7 GROUP BY 1, 2, 3) SELECT img_id, y, x, round(CASE WHEN e <= 0 THEN 0 ELSE num / sqrt(e * 200) END + 0.0, 6) + 0.0 AS v FROM m", "double", 6)
 _HV = "h AS (SELECT img_id, k.range AS k, CAST(floor(x * cos(k.range * pi() / 4) + y * sin(k.range * pi() / 4) + 0.5) AS INT) AS rho, count(*) AS n FROM img, range(4) k WHERE v > 140 GROUP BY 1, 2, 3)"
 register("hough_lines", lambda s, d: R.to_pixels(R.map_images(images(s, d), lambda a: K.hough_lines(np.where(a > 140, 1, 0), 4), shape=(N, N), kind="bigint")).where("v > 0").select("img_id", F.col("y").alias("theta"), (F.col("x") - 12).alias("rho"), F.col("v").alias("votes")), f"WITH {IMG}, {_HV} SELECT img_id, CAST(k AS INT) AS theta, rho, n AS votes FROM h")
-_q("harris", K.corner_response, None, "double", 3)
-_q("min_eigenvalue", K.min_eigenvalue, None, "double", 3)
+_CLAMP = "greatest(0, least(7, p.y + k.dy)) = q.y AND greatest(0, least(7, p.x + k.dx)) = q.x"
+_TENSOR = f"{IMG}, k(dy, dx, sx, sy) AS (VALUES (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,0,0,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)), g AS (SELECT p.img_id, p.y, p.x, sum(q.v * k.sx) AS gx, sum(q.v * k.sy) AS gy FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3), t AS (SELECT p.img_id, p.y, p.x, CAST(sum(q.gx * q.gx) AS DOUBLE) AS xx, CAST(sum(q.gy * q.gy) AS DOUBLE) AS yy, CAST(sum(q.gx * q.gy) AS DOUBLE) AS xy FROM img p CROSS JOIN k JOIN g q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3)"
+_q("harris", K.corner_response, f"WITH {_TENSOR} SELECT img_id, y, x, round(xx * yy - xy * xy - 0.04::DOUBLE * ((xx + yy) * (xx + yy)), 3) AS v FROM t", "double", 3)
+_q("min_eigenvalue", K.min_eigenvalue, f"WITH {_TENSOR} SELECT img_id, y, x, round((xx + yy) / 2 - sqrt(greatest(0, ((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy)), 3) AS v FROM t", "double", 3)
 _q("canny", lambda a: K.canny(a, 40, 120))
 _q("fast_corners", lambda a: K.fast_corners(a, 10))
-_q("bilateral", lambda a: K.bilateral(a, 5, 30.0, 2.0))
-_q("non_local_means", lambda a: K.non_local_means(a, 5, 3, 20.0))
-_q("guided_filter", lambda a: K.guided_filter(a, a, 3, 100.0))
+_RING = lambda r: f"k(dy, dx) AS (SELECT a.range - {r}, b.range - {r} FROM range({2 * r + 1}) a, range({2 * r + 1}) b)"
+_q("bilateral", lambda a: K.bilateral(a, 5, 30.0, 2.0), f"WITH {IMG}, {_RING(2)}, t AS (SELECT p.img_id, p.y, p.x, q.v, exp(-(dy * dy + dx * dx) / 8.0::DOUBLE - (q.v - p.v) * (q.v - p.v) / 1800.0::DOUBLE) AS w FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP}) SELECT img_id, y, x, {u8('sum(w * v) / sum(w)')} AS v FROM t GROUP BY 1, 2, 3")
+_q("non_local_means", lambda a: K.non_local_means(a, 5, 3, 20.0), f"WITH {IMG}, {_RING(2)}, u AS (SELECT p.img_id, p.y, p.x, k.dy AS oy, k.dx AS ox, q.v, (p.v - q.v) * (p.v - q.v) AS e FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP}), n AS (SELECT * FROM k WHERE abs(dy) <= 1 AND abs(dx) <= 1), d AS (SELECT p.img_id, p.y, p.x, p.oy, p.ox, p.v, exp(-(sum(q.e) / 9.0::DOUBLE) / 400.0::DOUBLE) AS w FROM u p CROSS JOIN n k JOIN u q ON q.img_id = p.img_id AND q.oy = p.oy AND q.ox = p.ox AND {_CLAMP} GROUP BY 1, 2, 3, 4, 5, 6) SELECT img_id, y, x, {u8('sum(w * v) / sum(w)')} AS v FROM d GROUP BY 1, 2, 3")
+_q("guided_filter", lambda a: K.guided_filter(a, a, 3, 100.0), f"WITH {IMG}, {_RING(1)}, m AS (SELECT p.img_id, p.y, p.x, p.v, sum(q.v) / 9.0::DOUBLE AS m, sum(q.v * q.v) / 9.0::DOUBLE AS mm FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3, 4), c AS (SELECT *, (mm - m * m) / (mm - m * m + 100) AS a FROM m), e AS (SELECT *, m - a * m AS b FROM c) SELECT p.img_id, p.y, p.x, {u8('sum(q.a) / 9.0::DOUBLE * p.v + sum(q.b) / 9.0::DOUBLE')} AS v FROM e p CROSS JOIN k JOIN e q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY p.img_id, p.y, p.x, p.v")
 _q("anisotropic_diffusion", lambda a: K.anisotropic_diffusion(a, 5, 20.0))
 _q("clahe", lambda a: K.clahe(a, 2, 4.0))
 _q("butterworth_lowpass", lambda a: R.u8(K.butterworth_lowpass(a, 0.25)))
@@ -63,13 +66,13 @@ _q("skeleton", lambda a: K.skeleton(np.where(a > 128, 255, 0)))
 _q("superpixels", lambda a: K.superpixels(a, 4, 10.0), None, "bigint")
 _q("inpaint", lambda a: K.inpaint(a, np.where(a > 170, 255, 0)))
 _q("saliency", K.saliency)
-_q("fill_holes", lambda a: R.fill_holes(np.where(a > 128, 255, 0)))
+_q("fill_holes", lambda a: R.fill_holes(np.where(a > 128, 255, 0)), f"WITH RECURSIVE {IMG}, o AS (SELECT img_id, y, x FROM img WHERE v <= 128), r AS (SELECT img_id, y, x FROM o WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT o.img_id, o.y, o.x FROM r JOIN o ON o.img_id = r.img_id AND abs(o.y - r.y) + abs(o.x - r.x) = 1) SELECT img.img_id, img.y, img.x, CASE WHEN r.img_id IS NULL THEN 255 ELSE 0 END AS v FROM img LEFT JOIN r USING (img_id, y, x)")
 _q("resize_cubic", lambda a: R.resample(a, 12, 12, R.cubic_weight, 2))
 _q("resize_lanczos", lambda a: R.resample(a, 12, 12, R.lanczos_weight, 3))
 _q("pyr_up", R.pyr_up)
 _q("laplacian_pyramid", R.laplacian_level)
 _q("bernsen", lambda a: R.bernsen(a, 3, 15), f"WITH {IMG}, k(dy, dx) AS (SELECT a.range - 1, b.range - 1 FROM range(3) a, range(3) b), m AS (SELECT p.img_id, p.y, p.x, p.v, max(q.v) AS hi, min(q.v) AS lo FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)) GROUP BY ALL) SELECT img_id, y, x, CASE WHEN hi - lo < 15 THEN CASE WHEN (hi + lo) / 2.0 >= 128 THEN 255 ELSE 0 END WHEN v >= (hi + lo) / 2.0 THEN 255 ELSE 0 END AS v FROM m")
-_q("census", R.census, None, "bigint")
+_q("census", R.census, f"WITH {IMG}, k(dy, dx, w) AS (VALUES (-1,-1,128),(-1,0,64),(-1,1,32),(0,-1,16),(0,1,8),(1,-1,4),(1,0,2),(1,1,1)) SELECT p.img_id, p.y, p.x, CAST(sum(CASE WHEN q.v < p.v THEN w ELSE 0 END) AS BIGINT) AS v FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3", "bigint")
 _q("warp_polar", lambda a: R.warp_polar(a, 16, 4, 3.5, 3.5, 4.0))
 
 
@@ -77,15 +80,16 @@ def _stacked(s, d):
     return image_pairs(s, d).select("img_id", F.concat("a", "b").alias("img"))
 
 
-def _pair(name: str, kernel, kind: str = "int", digits: int | None = None) -> None:
+def _pair(name: str, kernel, kind: str = "int", digits: int | None = None, sql: str | None = None) -> None:
     """A kernel of two images, stacked one above the other on the way in."""
 
     def query(s, d):
         out = R.to_pixels(R.map_images(_stacked(s, d), lambda a: kernel(a[:, :N], a[:, N:]), shape=(2 * N, N), kind=kind))
         return out if digits is None else out.withColumn("v", F.round(F.col("v") + 0.0, digits) + 0.0)
 
-    register(name, query)
+    register(name, query, sql)
 
 
 _pair("optical_flow_u", lambda a, b: K.horn_schunck(a, b, 10.0, 20)[0], "double", 4)
-_pair("stereo_disparity", lambda a, b: K.block_disparity(a, b, 4, 3), "bigint")
+_QY, _QX = "greatest(0, least(7, y + dy))", "greatest(0, least(7, x + dx))"
+_pair("stereo_disparity", lambda a, b: K.block_disparity(a, b, 4, 3), "bigint", None, f"WITH {_PAIRS}, {_RING(1)}, c AS (SELECT img_id, y, x, d.range AS d, sum(abs(va[{_QY} * 8 + {_QX} + 1] - vb[{_QY} * 8 + greatest(0, {_QX} - d.range) + 1])) AS cost FROM places JOIN two USING (img_id) CROSS JOIN k CROSS JOIN range(4) d GROUP BY 1, 2, 3, 4) SELECT img_id, y, x, arg_min(d, (cost, d)) AS v FROM c GROUP BY 1, 2, 3")
