@@ -74,7 +74,17 @@ _DE94 = (
     + ", y AS (SELECT *, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS bb FROM lab), x AS (SELECT *, sqrt(a * a + bb * bb) AS c1, sqrt(a * a + bb * bb) - sqrt(200::DOUBLE) AS dc FROM y)"
 )
 _c("delta_e94", lambda r, g, b: F.round(K.delta_e94(K.lab(r, g, b), (F.lit(50.0), F.lit(10.0), F.lit(-10.0))), 6), ["de"], ["round(sqrt((l - 50) * (l - 50) + (dc / (1 + 0.045 * c1)) * (dc / (1 + 0.045 * c1)) + greatest(0, (a - 10) * (a - 10) + (bb + 10) * (bb + 10) - dc * dc) / ((1 + 0.015 * c1) * (1 + 0.015 * c1))), 6)"], _DE94)
-register("delta_e2000", lambda s, d: _rgb(s, d).select(*_KEY, F.round(K.delta_e2000(K.lab(F.col("r"), F.col("g"), F.col("b")), (F.lit(50.0), F.lit(10.0), F.lit(-10.0))), 6).alias("de")))
+_HUEOF = "CASE WHEN {a} = 0 AND {b} = 0 THEN 0 WHEN atan2({b}, {a}) < 0 THEN degrees(atan2({b}, {a})) + 360 ELSE degrees(atan2({b}, {a})) END"
+_DE2000 = _LAB.replace(", x AS", ", lab AS") + (
+    ", y AS (SELECT *, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS bb FROM lab), g AS (SELECT *, pow((sqrt(a * a + bb * bb) + sqrt(200::DOUBLE)) / 2, 7) AS m7 FROM y), "
+    "s AS (SELECT *, a * (1.5 - 0.5 * sqrt(m7 / (m7 + pow(25::DOUBLE, 7)))) AS a1, 10 * (1.5 - 0.5 * sqrt(m7 / (m7 + pow(25::DOUBLE, 7)))) AS a2 FROM g), "
+    f"p AS (SELECT *, sqrt(a1 * a1 + bb * bb) AS c1, sqrt(a2 * a2 + 100) AS c2, {_HUEOF.format(a='a1', b='bb')} AS h1, degrees(atan2(-10::DOUBLE, a2)) + 360 AS h2 FROM s), "
+    "q AS (SELECT *, CASE WHEN c1 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 > h1 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh, CASE WHEN c1 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2) / 2 + 180 ELSE (h1 + h2) / 2 - 180 END AS mh, (l + 50) / 2 AS ml, (c1 + c2) / 2 AS mc FROM p), "
+    "w AS (SELECT *, 1 - 0.17 * cos(radians(mh - 30)) + 0.24 * cos(radians(2 * mh)) + 0.32 * cos(radians(3 * mh + 6)) - 0.2 * cos(radians(4 * mh - 63)) AS t FROM q), "
+    "z AS (SELECT *, (50 - l) / (1 + 0.015 * (ml - 50) * (ml - 50) / sqrt(20 + (ml - 50) * (ml - 50))) AS dx, (c2 - c1) / (1 + 0.045 * mc) AS dy, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * mc * t) AS dz, 2 * sqrt(pow(mc, 7) / (pow(mc, 7) + pow(25::DOUBLE, 7))) * sin(radians(60 * exp(-((mh - 275) / 25) * ((mh - 275) / 25)))) AS rt FROM w), "
+    "x AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz - rt * dy * dz) AS de2000 FROM z)"
+)
+_c("delta_e2000", lambda r, g, b: F.round(K.delta_e2000(K.lab(r, g, b), (F.lit(50.0), F.lit(10.0), F.lit(-10.0))), 6), ["de"], ["round(de2000, 6)"], _DE2000)
 _c("color_transform", lambda r, g, b: K.transform([r, g, b], [[0.5, 0.25, 0.25], [0.0, 1.0, -0.5]], [4.0, 8.0]), ["p", "q"], [u8("4.0 + r * 0.5::DOUBLE + g * 0.25::DOUBLE + b * 0.25::DOUBLE"), u8("8.0 + r * 0::DOUBLE + g * 1.0::DOUBLE + b * (-0.5)::DOUBLE")])
 
 # histograms: image pixels per label-free image id, and prices by priority

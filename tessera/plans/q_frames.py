@@ -22,10 +22,14 @@ register("cumulative_path", lambda s, d: T.cumulative_path(_EV(s, d), K, O, "v")
 _N = "n AS (SELECT *, row_number() OVER w AS i FROM e {w})".format(w=_W)
 register("ema", lambda s, d: T.ema(_EV(s, d), K, O, "v", 0.25).select("event_id", _r("ema")), f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT user_id, i, event_id, v AS ema FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, r.ema + 0.25 * (n.v - r.ema) FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1) SELECT event_id, round(ema, 5) AS ema FROM r")
 register("kalman_1d", lambda s, d: T.kalman_1d(_EV(s, d), K, O, "v", 0.01, 1.0).select("event_id", _r("filtered")), f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT user_id, i, event_id, v AS x, 1.0::DOUBLE AS p FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, r.x + (r.p + 0.01) / (r.p + 1.01) * (n.v - r.x), (1 - (r.p + 0.01) / (r.p + 1.01)) * (r.p + 0.01) FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1) SELECT event_id, round(x, 5) AS filtered FROM r")
-register("kalman_velocity", lambda s, d: T.kalman_velocity(_EV(s, d), K, O, "v", 0.01, 1.0).select("event_id", _r("filtered")))
+_NEXT = "r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1"
+_KV = "r.a + 2 * r.b + r.c + 0.01"  # the predicted variance of the place; a, b, c: variances of place, both, speed
+register("kalman_velocity", lambda s, d: T.kalman_velocity(_EV(s, d), K, O, "v", 0.01, 1.0).select("event_id", _r("filtered")), f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT user_id, i, event_id, v AS x, 0.0::DOUBLE AS speed, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, r.x + r.speed + ({_KV}) / ({_KV} + 1) * (n.v - r.x - r.speed), r.speed + (r.b + r.c) / ({_KV} + 1) * (n.v - r.x - r.speed), ({_KV}) / ({_KV} + 1), (r.b + r.c) / ({_KV} + 1), r.c + 0.01 - (r.b + r.c) * (r.b + r.c) / ({_KV} + 1) FROM {_NEXT}) SELECT event_id, round(x, 5) AS filtered FROM r")
 register("running_background", lambda s, d: T.running_background(_EV(s, d), K, O, "v", 0.125, 20.0).select("event_id", "foreground"), f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT user_id, i, event_id, v AS m, 0 AS foreground FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, r.m + 0.125 * (n.v - r.m), CASE WHEN abs(n.v - r.m) > 20 THEN 255 ELSE 0 END FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1) SELECT event_id, foreground FROM r")
-register("gaussian_background", lambda s, d: T.gaussian_background(_EV(s, d), K, O, "v", 0.1, 2.5).select("event_id", "foreground"))
-register("cusum_alarms", lambda s, d: T.cusum(_EV(s, d), K, O, "v", 5.0, 60.0).select("event_id", "alarm"))
+_FAR = "(n.v - r.m) * (n.v - r.m) > 6.25::DOUBLE * r.var"
+register("gaussian_background", lambda s, d: T.gaussian_background(_EV(s, d), K, O, "v", 0.1, 2.5).select("event_id", "foreground"), f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT user_id, i, event_id, v AS m, 225.0::DOUBLE AS var, 0 AS foreground FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, CASE WHEN {_FAR} THEN r.m ELSE r.m + 0.1::DOUBLE * (n.v - r.m) END, CASE WHEN {_FAR} THEN r.var ELSE greatest(4.0::DOUBLE, r.var + 0.1::DOUBLE * ((n.v - r.m) * (n.v - r.m) - r.var)) END, CASE WHEN {_FAR} THEN 255 ELSE 0 END FROM {_NEXT}) SELECT event_id, foreground FROM r")
+_UP = "CASE WHEN r.seen > 0 THEN greatest(0.0::DOUBLE, r.up + n.v - r.mean - 5) ELSE 0.0::DOUBLE END"
+register("cusum_alarms", lambda s, d: T.cusum(_EV(s, d), K, O, "v", 5.0, 60.0).select("event_id", "alarm"), f"WITH RECURSIVE {_E}, {_N}, r AS (SELECT user_id, i, event_id, 1 AS seen, v AS mean, 0.0::DOUBLE AS up, 0 AS alarm FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, CASE WHEN {_UP} > 60 THEN 0 ELSE r.seen + 1 END, CASE WHEN {_UP} > 60 THEN 0 ELSE (r.mean * r.seen + n.v) / (r.seen + 1) END, CASE WHEN {_UP} > 60 THEN 0 ELSE {_UP} END, CASE WHEN {_UP} > 60 THEN 1 ELSE 0 END FROM {_NEXT}) SELECT event_id, alarm FROM r")
 register("motion_history", lambda s, d: T.motion_history(_EV(s, d).withColumn("t", F.unix_timestamp("ts").cast("double")), K, O, "t", F.col("v") > 50, 86400.0).select("event_id", "mhi"), f"WITH {_E}, f AS (SELECT event_id, floor(epoch(ts)) AS t, max(CASE WHEN v > 50 THEN floor(epoch(ts)) END) OVER w AS l FROM e {_W}) SELECT event_id, CAST(CASE WHEN l >= t - 86400 THEN l ELSE 0 END AS DOUBLE) AS mhi FROM f")
 
 
