@@ -165,3 +165,35 @@ def from_unit(img: Column, low: float, high: float) -> Column:
 def polar_to_cart(magnitude: Num, degrees: Num) -> tuple[Column, Column]:
     """(x, y) of a length and an angle, elementwise on numbers."""
     return _c(magnitude) * F.cos(F.radians(_c(degrees))), _c(magnitude) * F.sin(F.radians(_c(degrees)))
+
+
+def extract_channel(img: Column, channels: int, k: int) -> Column:
+    """Channel ``k`` of an interleaved packed image."""
+    return F.filter(img, lambda _, i: i % channels == k)
+
+
+def insert_channel(img: Column, channels: int, k: int, plane: Column) -> Column:
+    """``img`` with channel ``k`` replaced by ``plane``, which should be a plain column: it is looked up per pixel."""
+    return F.transform(img, lambda v, i: F.when(i % channels == k, F.get(plane, F.floor(i / channels).cast("int"))).otherwise(v))
+
+
+def mix_channels(sources: list[tuple[Column, int]], routes: list[tuple[int, int]]) -> Column:
+    """An interleaved image whose channels are those of ``routes``: (number of the source, its channel). Sources are
+    plain columns with their number of channels and have as many pixels as the first."""
+    first, channels = sources[0]
+    pixel = lambda i: F.array(*(F.get(sources[s][0], (i * sources[s][1] + k).cast("int")) for s, k in routes))
+    places = F.when(F.size(first) >= channels, F.sequence(F.lit(0), F.floor(F.size(first) / channels).cast("int") - 1)).when(first.isNotNull(), F.array().cast("array<int>"))
+    return F.flatten(F.transform(places, pixel))
+
+
+def lut_channels(img: Column, tables: list[Column]) -> Column:
+    """Each channel of an interleaved image through a table of 256 values of its own."""
+    n = len(tables)
+
+    def value(v: Column, i: Column) -> Column:
+        out = F.get(tables[0], v)
+        for k in range(1, n):
+            out = F.when(i % n == k, F.get(tables[k], v)).otherwise(out)
+        return out
+
+    return F.transform(img, value)

@@ -54,3 +54,19 @@ def cosine(a: Column, b: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Of 64-bit codes."""
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def hamming_share(a: Column, b: Column) -> Column:
+    """Of 64-bit codes, the share of bits that differ."""
+    return hamming(a, b) / 64.0
+
+
+def code_to_hex(code: Column) -> Column:
+    """A 64-bit code as 16 lower-case hexadecimal digits."""
+    return F.lpad(F.lower(F.hex(code)), 16, "0")
+
+
+def hex_to_code(text: Column) -> Column:
+    """The 64-bit code that up to 16 hexadecimal digits stand for; null for other text."""
+    halves = [F.conv(F.substring(F.lpad(text, 16, "0"), at, 8), 16, 10).cast("bigint") for at in (1, 9)]
+    return F.when(text.rlike("^[0-9A-Fa-f]{1,16}$"), F.shiftleft(halves[0], 32).bitwiseOR(halves[1]))

@@ -325,6 +325,29 @@ def integral(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def integral_tilted(a: np.ndarray) -> np.ndarray:
+    """(rows + 1) x (cols + 1) sums over the upward triangles, turned by 45 degrees: the entry (y, x) adds the pixels
+    (q, p) with q < y and |p - x + 1| < y - q."""
+    n, h, w = a.shape
+    wide = np.zeros((n, h, w + 2 * h + 1), dtype=np.float64 if a.dtype.kind == "f" else np.int64)
+    wide[:, :, h + 1 : h + 1 + w] = a
+    t = np.zeros((n, h + 1, w + 2 * h + 3), dtype=wide.dtype)
+    for y in range(1, h + 1):
+        t[:, y, 1:-1] = t[:, y - 1, :-2] + t[:, y - 1, 2:] + wide[:, y - 1]
+        if y > 1:
+            t[:, y, 1:-1] += wide[:, y - 2] - t[:, y - 2, 1:-1]
+    return t[:, :, h + 1 : h + 2 + w]
+
+
+def repeat(a: np.ndarray, down: int, across: int) -> np.ndarray:
+    return np.tile(a, (1, down, across))
+
+
+def region(a: np.ndarray, y: int, x: int, rows: int, cols: int) -> np.ndarray:
+    """The part of a rectangle that lies in the image."""
+    return a[:, max(0, y) : max(0, y + rows), max(0, x) : max(0, x + cols)]
+
+
 def flip(a: np.ndarray, vertical: bool = False, horizontal: bool = False) -> np.ndarray:
     return a[:, :: -1 if vertical else 1, :: -1 if horizontal else 1]
 

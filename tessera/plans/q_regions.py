@@ -6,15 +6,18 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import pixel as P
+from tessera.functions import vector as V
 from tessera.operators import contours as C
 from tessera.operators import histogram as H
 from tessera.operators import kernels as K
 from tessera.operators import measure as M
 from tessera.operators import raster as R
-from tessera.plans.common import _PAIRS, IMG, SIDE, image_pairs, images, pixels
+from tessera.operators import records as RC
+from tessera.plans.common import _PAIRS, IMG, SIDE, image_pairs, images, pixels, table
 from tessera.plans.q_color_hist import _CUM, _MOM, _PHIST, _PSQL, _QH, _flag
 from tessera.plans.q_kernels import _components, _q
 from tessera.plans.q_measure import _LEV
+from tessera.plans.q_search import _AH, _AHS
 from tessera.plans.registry import register
 
 N = SIDE
@@ -108,3 +111,39 @@ def _polar(s, d):
 
 register("polar_to_cart", _polar, f"WITH {_PAIRS} SELECT img_id, y * 8 + x AS i, round(a.v * cos(radians(b.v)) + 0.0, 6) AS px, round(a.v * sin(radians(b.v)) + 0.0, 6) AS py FROM places")
 register("accumulate_products", lambda s, d: image_pairs(s, d).select(F.posexplode(F.arrays_zip("a", "b")).alias("i", "p")).groupBy("i").agg(F.sum(F.col("p.a")).alias("total"), F.sum(F.col("p.a") * F.col("p.a")).alias("squares"), F.sum(F.col("p.a") * F.col("p.b")).alias("products")), f"WITH {_PAIRS} SELECT y * 8 + x AS i, CAST(sum(a.v) AS BIGINT) AS total, CAST(sum(a.v * a.v) AS BIGINT) AS squares, CAST(sum(a.v * b.v) AS BIGINT) AS products FROM places GROUP BY 1")
+
+
+# channels: 64 values as 16 pixels of 4
+def _flat(df, value, name: str = "v"):
+    return df.select("img_id", F.posexplode(value).alias("i", name))
+
+
+def _mixed(s, d):
+    return _flat(image_pairs(s, d), P.mix_channels([(F.col("a"), 4), (F.col("b"), 4)], [(1, 3), (0, 0), (0, 2)]))
+
+
+register("extract_channel", lambda s, d: _flat(images(s, d), P.extract_channel(F.col("img"), 4, 2)), f"WITH {IMG} SELECT img_id, CAST((y * 8 + x) // 4 AS INT) AS i, v FROM img WHERE x % 4 = 2")
+register("insert_channel", lambda s, d: _flat(image_pairs(s, d).withColumn("plane", P.extract_channel(F.col("b"), 4, 1)), P.insert_channel(F.col("a"), 4, 2, F.col("plane"))), f"WITH {_PAIRS} SELECT img_id, y * 8 + x AS i, CASE WHEN x % 4 = 2 THEN vb[y * 8 + x] ELSE a.v END AS v FROM places JOIN two USING (img_id)")
+register("mix_channels", _mixed, f"WITH {_PAIRS} SELECT img_id, CAST(p.range * 3 + c.range AS INT) AS i, CASE c.range WHEN 0 THEN vb[p.range * 4 + 4] WHEN 1 THEN va[p.range * 4 + 1] ELSE va[p.range * 4 + 3] END AS v FROM two, range(16) p, range(3) c")
+register("lut_channels", lambda s, d: _flat(images(s, d), P.lut_channels(F.col("img"), [F.array(*(F.lit((j * (2 * k + 1) + k) % 256) for j in range(256))) for k in range(4)])), f"WITH {IMG} SELECT img_id, y * 8 + x AS i, (v * (2 * (x % 4) + 1) + x % 4) % 256 AS v FROM img")
+
+# sums and copies
+_GRID9 = "FROM (SELECT DISTINCT img_id FROM img) i CROSS JOIN (SELECT CAST(range AS INT) AS gy FROM range(9)) a CROSS JOIN (SELECT CAST(range AS INT) AS gx FROM range(9)) b LEFT JOIN img ON img.img_id = i.img_id AND img.y < gy"
+_q("integral_squared", lambda a: R.integral(a.astype(np.int64) ** 2), f"WITH {IMG} SELECT i.img_id, gy AS y, gx AS x, CAST(coalesce(sum(v * v), 0) AS BIGINT) AS v {_GRID9} AND img.x < gx GROUP BY 1, 2, 3", "bigint")
+_q("integral_tilted", R.integral_tilted, f"WITH {IMG} SELECT i.img_id, gy AS y, gx AS x, CAST(coalesce(sum(v), 0) AS BIGINT) AS v {_GRID9} AND abs(img.x - gx + 1) < gy - img.y GROUP BY 1, 2, 3", "bigint")
+_q("repeat", lambda a: R.repeat(a, 2, 3), f"WITH {IMG} SELECT img_id, CAST(y + 8 * a.range AS INT) AS y, CAST(x + 8 * b.range AS INT) AS x, v FROM img, range(2) a, range(3) b")
+_q("region", lambda a: R.region(a, 2, 5, 4, 9), f"WITH {IMG} SELECT img_id, y - 2 AS y, x - 5 AS x, v FROM img WHERE y BETWEEN 2 AND 5 AND x >= 5")
+
+# records: bright pixels as scored points, and segments between the ends of orders
+_POINTS = lambda s, d: pixels(images(s, d), F.col("img"))
+register("filter_by_response", lambda s, d: RC.within(_POINTS(s, d), F.col("v"), 120, 180), f"WITH {IMG} SELECT img_id, y, x, v FROM img WHERE v BETWEEN 120 AND 180")
+register("filter_by_border", lambda s, d: RC.off_border(_POINTS(s, d), N, N, 2), f"WITH {IMG} SELECT img_id, y, x, v FROM img WHERE y >= 2 AND y <= 5 AND x >= 2 AND x <= 5")
+register("retain_best", lambda s, d: RC.retain_best(_POINTS(s, d), ["img_id"], "v", 5, ["y", "x"]), f"WITH {IMG} SELECT img_id, y, x, v FROM img QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY v DESC, y, x) <= 5")
+_SEG = "SELECT p_partkey, p_partkey % 11 AS x1, p_size % 7 AS y1, p_partkey % 5 + 6 AS x2, p_size % 9 + 2 AS y2 FROM part"
+register(
+    "filter_by_length",
+    lambda s, d: RC.within(table(s, d, "part").selectExpr("p_partkey", "p_partkey % 11 AS x1", "p_size % 7 AS y1", "p_partkey % 5 + 6 AS x2", "p_size % 9 + 2 AS y2"), RC.length("x1", "y1", "x2", "y2"), 5.0).select("p_partkey", F.round(RC.length("x1", "y1", "x2", "y2"), 6).alias("length")),
+    f"SELECT p_partkey, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 6) AS length FROM ({_SEG}) s WHERE (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) >= 25",
+)
+_HEX = "array_to_string(list_transform(range(16), lambda k: substr('0123456789abcdef', CAST(1 + 8 * CAST(substr(bits, CAST(4 * k + 1 AS BIGINT), 1) AS INT) + 4 * CAST(substr(bits, CAST(4 * k + 2 AS BIGINT), 1) AS INT) + 2 * CAST(substr(bits, CAST(4 * k + 3 AS BIGINT), 1) AS INT) + CAST(substr(bits, CAST(4 * k + 4 AS BIGINT), 1) AS INT) AS BIGINT), 1)), '')"
+register("hash_hex", lambda s, d: _AH(s, d).select("id", V.code_to_hex(F.col("code")).alias("digits"), (V.hex_to_code(V.code_to_hex(F.col("code"))) == F.col("code")).alias("same"), V.hamming_share(F.col("code"), F.lit(0).cast("bigint")).alias("share")), f"WITH {_AHS} SELECT id, {_HEX} AS digits, true AS same, length(replace(bits, '0', '')) / 64.0::DOUBLE AS share FROM h")
