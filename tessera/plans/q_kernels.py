@@ -67,7 +67,14 @@ _q("non_local_means", lambda a: K.non_local_means(a, 5, 3, 20.0), f"WITH {IMG},
 _q("guided_filter", lambda a: K.guided_filter(a, a, 3, 100.0), f"WITH {IMG}, {_RING(1)}, m AS (SELECT p.img_id, p.y, p.x, p.v, sum(q.v) / 9.0::DOUBLE AS m, sum(q.v * q.v) / 9.0::DOUBLE AS mm FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3, 4), c AS (SELECT *, (mm - m * m) / (mm - m * m + 100) AS a FROM m), e AS (SELECT *, m - a * m AS b FROM c) SELECT p.img_id, p.y, p.x, {u8('sum(q.a) / 9.0::DOUBLE * p.v + sum(q.b) / 9.0::DOUBLE')} AS v FROM e p CROSS JOIN k JOIN e q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY p.img_id, p.y, p.x, p.v")
 _FLOW = "".join(f", d{i + 1} AS (SELECT p.img_id, p.y, p.x, p.v + 0.2::DOUBLE * sum(exp(-((q.v - p.v) / 20.0::DOUBLE) * ((q.v - p.v) / 20.0::DOUBLE)) * (q.v - p.v)) AS v FROM d{i} p CROSS JOIN k JOIN d{i} q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY p.img_id, p.y, p.x, p.v)" for i in range(5))
 _q("anisotropic_diffusion", lambda a: K.anisotropic_diffusion(a, 5, 20.0), f"WITH {IMG}, k(dy, dx) AS (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)), d0 AS (SELECT img_id, y, x, CAST(v AS DOUBLE) AS v FROM img){_FLOW} SELECT img_id, y, x, {u8('v')} AS v FROM d5")
-_q("clahe", lambda a: K.clahe(a, 2, 4.0))
+# four tiles of 4 x 4 pixels, counts clipped at one: a level's share is the tile's distinct levels up to it and a part of the excess
+_TILES = (
+    f"{IMG}, l AS (SELECT DISTINCT img_id, y // 4 AS ty, x // 4 AS tx, v FROM img), e AS (SELECT img_id, ty, tx, 16 - count(*) AS over FROM l GROUP BY 1, 2, 3), "
+    "p AS (SELECT *, floor((y + 0.5) / 4 - 0.5) AS y0, floor((x + 0.5) / 4 - 0.5) AS x0 FROM img), "
+    "n AS (SELECT img_id, y, x, v, greatest(0, least(1, y0 + a.range)) AS ty, greatest(0, least(1, x0 + b.range)) AS tx, CASE WHEN a.range = 1 THEN (y + 0.5) / 4.0::DOUBLE - 0.5 - y0 ELSE 1.5 + y0 - (y + 0.5) / 4.0::DOUBLE END * CASE WHEN b.range = 1 THEN (x + 0.5) / 4.0::DOUBLE - 0.5 - x0 ELSE 1.5 + x0 - (x + 0.5) / 4.0::DOUBLE END AS w FROM p, range(2) a, range(2) b), "
+    "d AS (SELECT DISTINCT img_id, y, x, v, ty, tx FROM n), s AS (SELECT d.img_id, d.y, d.x, d.ty, d.tx, count(*) FILTER (l.v <= d.v) AS below FROM d JOIN l USING (img_id, ty, tx) GROUP BY 1, 2, 3, 4, 5)"
+)
+_q("clahe", lambda a: K.clahe(a, 2, 4.0), f"WITH {_TILES} SELECT img_id, y, x, {u8('sum(w * (below + (v + 1) * over / 256.0::DOUBLE) * (255 / 16.0::DOUBLE))')} AS v FROM n JOIN e USING (img_id, ty, tx) JOIN s USING (img_id, y, x, ty, tx) GROUP BY 1, 2, 3")
 _SPECTRUM = f"{IMG}, f AS (SELECT img_id, u.range AS u, w.range AS w, sum(v * cos(pi() * (u.range * y + w.range * x) / 4)) AS re, sum(v * sin(pi() * (u.range * y + w.range * x) / 4)) AS im FROM img, range(8) u, range(8) w GROUP BY 1, 2, 3)"
 _back = lambda gain: f"WITH {_SPECTRUM}, h AS (SELECT *, {gain} AS g FROM f) SELECT img_id, CAST(yy.range AS INT) AS y, CAST(xx.range AS INT) AS x, {u8('sum(g * (re * cos(pi() * (u * yy.range + w * xx.range) / 4) + im * sin(pi() * (u * yy.range + w * xx.range) / 4))) / 64')} AS v FROM h, range(8) yy, range(8) xx GROUP BY 1, 2, 3"
 _q("butterworth_lowpass", lambda a: R.u8(K.butterworth_lowpass(a, 0.25)), _back("1 / (1 + pow((least(u, 8 - u) * least(u, 8 - u) + least(w, 8 - w) * least(w, 8 - w)) / 64.0::DOUBLE * 16, 2))"))
@@ -79,7 +86,14 @@ _KEPT = " UNION ".join(f"SELECT p.img_id, p.y, p.x FROM e{i} p WHERE NOT EXISTS
 _q("skeleton", lambda a: K.skeleton(np.where(a > 128, 255, 0)), f"WITH {IMG}, e0 AS (SELECT img_id, y, x FROM img WHERE v > 128){_THIN}, s AS ({_KEPT}) SELECT img.img_id, img.y, img.x, CASE WHEN s.img_id IS NULL THEN 0 ELSE 255 END AS v FROM img LEFT JOIN s USING (img_id, y, x)")
 _q("superpixels", lambda a: K.superpixels(a, 4, 10.0), None, "bigint")
 _q("inpaint", lambda a: K.inpaint(a, np.where(a > 170, 255, 0)))
-_q("saliency", K.saliency)
+_RESIDUAL = (
+    f"{_SPECTRUM}, l AS (SELECT *, ln(sqrt(re * re + im * im) + 1e-9::DOUBLE) AS l, atan2(-im, re) AS phase FROM f), k AS (SELECT a.range - 1 AS du, b.range - 1 AS dw FROM range(3) a, range(3) b), "
+    "g AS (SELECT p.img_id, p.u, p.w, p.phase, exp(p.l - sum(q.l) / 9) AS m FROM l p CROSS JOIN k JOIN l q ON q.img_id = p.img_id AND q.u = greatest(0, least(7, p.u + du)) AND q.w = greatest(0, least(7, p.w + dw)) GROUP BY p.img_id, p.u, p.w, p.phase, p.l), "
+    "b AS (SELECT img_id, yy.range AS y, xx.range AS x, pow(sum(m * cos(phase + pi() * (u * yy.range + w * xx.range) / 4)) / 64, 2) + pow(sum(m * sin(phase + pi() * (u * yy.range + w * xx.range) / 4)) / 64, 2) AS v FROM g, range(8) yy, range(8) xx GROUP BY 1, 2, 3), "
+    "s AS (SELECT range - 2 AS d, exp(-(range - 2) * (range - 2) / 2.0::DOUBLE) AS w FROM range(5)), t AS (SELECT p.img_id, p.y, p.x, sum(q.v * a.w * c.w) / pow((SELECT sum(w) FROM s), 2) AS v FROM b p CROSS JOIN s a CROSS JOIN s c JOIN b q ON q.img_id = p.img_id AND q.y = greatest(0, least(7, p.y + a.d)) AND q.x = greatest(0, least(7, p.x + c.d)) GROUP BY 1, 2, 3), "
+    "r AS (SELECT *, min(v) OVER (PARTITION BY img_id) AS low, max(v) OVER (PARTITION BY img_id) AS high FROM t)"
+)
+_q("saliency", K.saliency, f"WITH {_RESIDUAL} SELECT img_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, {u8('(v - low) / greatest(high - low, 1e-12::DOUBLE) * 255')} AS v FROM r")
 _q("fill_holes", lambda a: R.fill_holes(np.where(a > 128, 255, 0)), f"WITH RECURSIVE {IMG}, o AS (SELECT img_id, y, x FROM img WHERE v <= 128), r AS (SELECT img_id, y, x FROM o WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT o.img_id, o.y, o.x FROM r JOIN o ON o.img_id = r.img_id AND abs(o.y - r.y) + abs(o.x - r.x) = 1) SELECT img.img_id, img.y, img.x, CASE WHEN r.img_id IS NULL THEN 255 ELSE 0 END AS v FROM img LEFT JOIN r USING (img_id, y, x)")
 
 

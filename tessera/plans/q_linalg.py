@@ -13,17 +13,29 @@ from tessera.plans.common import IMG, SIDE, image_pairs, images, pixels, table
 from tessera.plans.registry import register
 
 
-def _m(name: str, kernel, digits: int = 6) -> None:
+def _eliminated(n: int) -> str:
+    """e0 to en: a matrix (img_id, i, j, v) of n rows, wider than it is high, whose first n columns become the identity."""
+    step = "SELECT e.img_id, e.i, e.j, CASE WHEN e.i = {k} THEN e.v / p.v ELSE e.v - c.v * r.v / p.v END AS v FROM e{k} e JOIN e{k} p ON p.img_id = e.img_id AND p.i = {k} AND p.j = {k} JOIN e{k} c ON c.img_id = e.img_id AND c.i = e.i AND c.j = {k} JOIN e{k} r ON r.img_id = e.img_id AND r.i = {k} AND r.j = e.j"
+    return "".join(f", e{k + 1} AS ({step.format(k=k)})" for k in range(n))
+
+
+_BASE = f"WITH {IMG}, a AS (SELECT img_id, y, x, v / 16.0::DOUBLE + CASE WHEN y = x THEN 64 ELSE 0 END AS v FROM img)"
+_INVERSE = f"{_BASE}, e0 AS (SELECT img_id, y AS i, x AS j, v FROM a UNION ALL SELECT img_id, y, x + 8, CASE WHEN y = x THEN 1.0::DOUBLE ELSE 0 END FROM a){_eliminated(8)} SELECT img_id, i AS y, j - 8 AS x, round(v + 0.0, 6) + 0.0 AS v FROM e8 WHERE j >= 8"
+# eight equations in six unknowns, the seventh column being the right side: normal equations
+_SOLVED = f"{_BASE}, e0 AS (SELECT p.img_id, p.x AS i, q.x AS j, sum(p.v * q.v) AS v FROM a p JOIN a q ON q.img_id = p.img_id AND q.y = p.y WHERE p.x < 6 AND q.x < 7 GROUP BY 1, 2, 3){_eliminated(6)} SELECT img_id, i AS y, 0 AS x, round(v + 0.0, 6) + 0.0 AS v FROM e6 WHERE j = 6"
+
+
+def _m(name: str, kernel, digits: int = 6, sql: str | None = None) -> None:
     def query(s, d):
         out = R.to_pixels(R.map_images(images(s, d), kernel, shape=(SIDE, SIDE), kind="double"))
         return out.withColumn("v", F.round(F.col("v") + 0.0, digits) + 0.0)
 
-    register(name, query)
+    register(name, query, sql)
 
 
 _scaled = lambda a: np.asarray(a, float) / 16
-_m("matrix_inverse", lambda a: A.inverse(_scaled(a) + np.eye(SIDE) * 64))
-_m("matrix_solve", lambda a: A.solve((_scaled(a) + np.eye(SIDE) * 64)[:, :, : SIDE - 1]))
+_m("matrix_inverse", lambda a: A.inverse(_scaled(a) + np.eye(SIDE) * 64), 6, _INVERSE)
+_m("matrix_solve", lambda a: A.solve((_scaled(a) + np.eye(SIDE) * 64)[:, :, : SIDE - 1]), 6, _SOLVED)
 _m("matrix_eigen", lambda a: A.eigen_symmetric(_scaled(a)), 4)
 _m("singular_values", A.singular_values, 4)
 register(
