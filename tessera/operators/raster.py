@@ -436,7 +436,7 @@ def warp_polar(a: np.ndarray, rows: int, cols: int, cy: float, cx: float, radius
     ang, r = grid(rows, cols)
     rho = np.exp(r * np.log(radius) / cols) - 1 if log else r * radius / cols
     t = 2 * np.pi * ang / rows
-    return u8(sample_bilinear(a, cy + rho * np.sin(t), cx + rho * np.cos(t), "constant"))
+    return u8(np.round(sample_bilinear(a, cy + rho * np.sin(t), cx + rho * np.cos(t), "constant"), 9))
 
 
 def pyr_down(a: np.ndarray) -> np.ndarray:

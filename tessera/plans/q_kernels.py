@@ -112,7 +112,8 @@ _GROWN4 = _GROWN.replace("15 - abs(15 - abs", "7 - abs(7 - abs").replace("range(
 _q("laplacian_pyramid", R.laplacian_level, f"WITH {IMG}, {_SHRUNK}, {_GROWN4}, u AS (SELECT img_id, a.o AS y, b.o AS x, {u8('sum(v * a.w * b.w) / 64.0::DOUBLE')} AS v FROM e JOIN n a ON a.i = y JOIN n b ON b.i = x GROUP BY 1, 2, 3) SELECT img_id, y, x, img.v - u.v AS v FROM img JOIN u USING (img_id, y, x)")
 _q("bernsen", lambda a: R.bernsen(a, 3, 15), f"WITH {IMG}, k(dy, dx) AS (SELECT a.range - 1, b.range - 1 FROM range(3) a, range(3) b), m AS (SELECT p.img_id, p.y, p.x, p.v, max(q.v) AS hi, min(q.v) AS lo FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)) GROUP BY ALL) SELECT img_id, y, x, CASE WHEN hi - lo < 15 THEN CASE WHEN (hi + lo) / 2.0 >= 128 THEN 255 ELSE 0 END WHEN v >= (hi + lo) / 2.0 THEN 255 ELSE 0 END AS v FROM m")
 _q("census", R.census, f"WITH {IMG}, k(dy, dx, w) AS (VALUES (-1,-1,128),(-1,0,64),(-1,1,32),(0,-1,16),(0,1,8),(1,-1,4),(1,0,2),(1,1,1)) SELECT p.img_id, p.y, p.x, CAST(sum(CASE WHEN q.v < p.v THEN w ELSE 0 END) AS BIGINT) AS v FROM img p CROSS JOIN k JOIN img q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3", "bigint")
-_q("warp_polar", lambda a: R.warp_polar(a, 16, 4, 3.5, 3.5, 4.0))
+_POLAR = "t AS (SELECT CAST(a.range AS INT) AS ang, CAST(r.range AS INT) AS r, 3.5 + r.range * sin(pi() * a.range / 8) AS fy, 3.5 + r.range * cos(pi() * a.range / 8) AS fx FROM range(16) a, range(4) r), s AS (SELECT ang, r, floor(fy) + i.range AS y, floor(fx) + j.range AS x, (1 - abs(fy - floor(fy) - i.range)) * (1 - abs(fx - floor(fx) - j.range)) AS w FROM t, range(2) i, range(2) j)"
+_q("warp_polar", lambda a: R.warp_polar(a, 16, 4, 3.5, 3.5, 4.0), f"WITH {IMG}, {_POLAR} SELECT i.img_id, s.ang AS y, s.r AS x, {u8('round(sum(coalesce(img.v, 0) * w), 9)')} AS v FROM (SELECT DISTINCT img_id FROM img) i CROSS JOIN s LEFT JOIN img ON img.img_id = i.img_id AND img.y = s.y AND img.x = s.x GROUP BY 1, 2, 3")
 
 
 def _stacked(s, d):
@@ -129,6 +130,8 @@ def _pair(name: str, kernel, kind: str = "int", digits: int | None = None, sql:
     register(name, query, sql)
 
 
-_pair("optical_flow_u", lambda a, b: K.horn_schunck(a, b, 10.0, 20)[0], "double", 4)
+_SLOPE = "g AS (SELECT img_id, y, x, (va[y * 8 + least(7, x + 1) + 1] + vb[y * 8 + least(7, x + 1) + 1] - va[y * 8 + greatest(0, x - 1) + 1] - vb[y * 8 + greatest(0, x - 1) + 1]) / 4.0::DOUBLE AS gx, (va[least(7, y + 1) * 8 + x + 1] + vb[least(7, y + 1) * 8 + x + 1] - va[greatest(0, y - 1) * 8 + x + 1] - vb[greatest(0, y - 1) * 8 + x + 1]) / 4.0::DOUBLE AS gy, CAST(b.v - a.v AS DOUBLE) AS gt FROM places JOIN two USING (img_id)), k(dy, dx, w) AS (VALUES (-1,-1,1/12.0::DOUBLE),(-1,0,1/6.0::DOUBLE),(-1,1,1/12.0::DOUBLE),(0,-1,1/6.0::DOUBLE),(0,1,1/6.0::DOUBLE),(1,-1,1/12.0::DOUBLE),(1,0,1/6.0::DOUBLE),(1,1,1/12.0::DOUBLE)), d0 AS (SELECT *, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM g)"
+_ROUNDS = "".join(f", m{i} AS (SELECT p.img_id, p.y, p.x, p.gx, p.gy, p.gt, sum(k.w * q.u) AS u, sum(k.w * q.v) AS v FROM g p CROSS JOIN k JOIN d{i} q ON q.img_id = p.img_id AND {_CLAMP} GROUP BY 1, 2, 3, 4, 5, 6), d{i + 1} AS (SELECT img_id, y, x, u - gx * (gx * u + gy * v + gt) / (100 + gx * gx + gy * gy) AS u, v - gy * (gx * u + gy * v + gt) / (100 + gx * gx + gy * gy) AS v FROM m{i})" for i in range(20))
+_pair("optical_flow_u", lambda a, b: K.horn_schunck(a, b, 10.0, 20)[0], "double", 4, f"WITH {_PAIRS}, {_SLOPE}{_ROUNDS} SELECT img_id, y, x, round(u + 0.0, 4) + 0.0 AS v FROM d20")
 _QY, _QX = "greatest(0, least(7, y + dy))", "greatest(0, least(7, x + dx))"
 _pair("stereo_disparity", lambda a, b: K.block_disparity(a, b, 4, 3), "bigint", None, f"WITH {_PAIRS}, {_RING(1)}, c AS (SELECT img_id, y, x, d.range AS d, sum(abs(va[{_QY} * 8 + {_QX} + 1] - vb[{_QY} * 8 + greatest(0, {_QX} - d.range) + 1])) AS cost FROM places JOIN two USING (img_id) CROSS JOIN k CROSS JOIN range(4) d GROUP BY 1, 2, 3, 4) SELECT img_id, y, x, arg_min(d, (cost, d)) AS v FROM c GROUP BY 1, 2, 3")
