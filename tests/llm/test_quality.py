@@ -67,6 +67,28 @@ def test_awkward_rows_and_empty_tables(spark):
     assert sorted(map(str, pairs(kept))) == sorted(str((r.doc_id, t)) for r, (_, t) in zip(sorted(Q.quality_rules(docs, ids).collect(), key=lambda r: str(r.doc_id)), sorted(pairs(docs), key=lambda p: str(p[0])), strict=True) if r.kept)
 
 
+def test_long_texts_are_counted_in_full_by_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    atoms = ["a", "b", "c#", "d\n", "|", "é<", "\x0b", "\n\n", "   ", "😀x", "long" * 9]
+    texts = [rng.choice(["", " ", "\n"]) + " ".join(rng.choice(atoms[: rng.randint(2, 11)]) for _ in range(rng.randint(40, 200))) for _ in range(60)]
+    texts += [" " * 400, "word" * 100, "x y\n" * 90, "\n".join(f"w{i}" for i in range(120)), None, "", "short text"]
+    docs = spark.createDataFrame([(i % 60 if i != 5 else None, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, `_id` string")
+    ids = docs.where("doc_id % 3 = 0").select("doc_id")
+    want = sorted(Q.quality_rules(docs, ids).collect(), key=str)
+    kept = sorted(map(str, Q.keep_passing(docs, ids).collect()))
+    for length, piece in ((150, 7), (0, 1), (150, 1 << 15)):
+        monkeypatch.setattr(Q, "LONG_BYTES", length)
+        monkeypatch.setattr(Q, "PIECE", piece)
+        judged = Q.quality_rules(docs, ids)
+        # the arrays of a row are made of the short texts alone
+        assert f"<= {length}" in judged._jdf.queryExecution().analyzed().toString()
+        for r, x in zip(want, sorted(judged.collect(), key=str), strict=True):
+            assert r[:8] == x[:8] and r.llr == pytest.approx(x.llr, abs=1e-12)
+        assert sorted(map(str, Q.keep_passing(docs, ids).collect())) == kept
+    counts = sorted(tuple(r[1:6]) for r in judged.collect())
+    assert counts == sorted(base(t) for t in texts)
+
+
 def test_no_python_on_the_rules_path(spark):
     docs = awkward_docs(spark)
     plan = Q.quality_rules(docs, docs.select("doc_id"))._jdf.queryExecution().executedPlan().toString()
