@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ UNITS = 64
 DEPTH = 4
 #: Bytes of words and ids that a task keeps.
 CACHE_BYTES = 96 << 20
-_BATCH_BYTES = 1 << 20
-_TAIL_MARKS = re.compile(rb"(?<=[a-z])([.,!]+)(?=[ \n])")
+_BATCH_BYTES = 2 << 20
+_LETTER, _TAIL_MARK, _GAP = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyz", b".,!", b" \n"))
 #: What an entry of the cache takes besides its word and ids: two objects and a place in a table.
 _ENTRY_BYTES = 160
 #: Letters that no normal form and no other version of Unicode changes, and marks that may follow them.
@@ -83,7 +84,7 @@ class WordCoder:
 
     def _letters(self, word: str) -> list[int]:
         """Ids of a word that is one pre-token."""
-        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.chars))]
+        return [t.id for t in self.tok.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.chars))]
 
     def _learn(self, fresh: list[bytes]) -> None:
         young, old, other, held = self.young, self.old, [], 0
@@ -113,17 +114,34 @@ class WordCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > self.half:
             self.young, self.old, self.held = {}, self.young, 0
-        split = []
-        for t in texts:
-            b = t.encode()
-            if b"<|" not in b:  # special tokens are told apart by case; elsewhere A-Z may be lowered first
-                b = _TAIL_MARKS.sub(rb" \1", b.lower())
-            split.append(b.split())
-        fresh = set().union(*split).difference(self.young)
-        if fresh:
-            self._learn(list(fresh))
-        get = self.young.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        split = self._words(texts)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.young.get, words))
+        if fresh := [i for i, ids in enumerate(known) if ids is None]:
+            self._learn([words[i] for i in fresh])
+            for i in fresh:
+                known[i] = self.young[words[i]]
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        _, ends, raw = ids.buffers()
+        cuts = np.frombuffer(ends, dtype=np.int64, count=len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        return [raw[x:y].to_pybytes() if y > x else b"" for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    @staticmethod
+    def _words(texts: list[str]) -> pa.ListArray:
+        """The words of each text; a text that begins or ends with white space also has empty ones, without ids. A mark
+        behind a letter is a word of its own, as letters repeat more without it."""
+        raw = [t.encode() for t in texts]
+        special = np.array([b"<|" in b for b in raw])  # special tokens are told apart by case; elsewhere A-Z may be lowered first
+        raw = [b if own else b.lower() for b, own in zip(raw, special, strict=True)]
+        offsets = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        at = np.flatnonzero(_TAIL_MARK[data[1:-1]]) + 1 if len(data) > 2 else offsets[:0]
+        at = at[_LETTER[data[at - 1]] & _GAP[data[at + 1]]]
+        at = at[~special[np.searchsorted(offsets, at, side="right") - 1]]
+        data, offsets = np.insert(data, at, ord(" ")), offsets + np.searchsorted(at, offsets)
+        joined = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data))
+        return pc.ascii_split_whitespace(joined)
 
 
 def _coder(spec: str) -> WordCoder:

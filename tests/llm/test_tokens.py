@@ -120,6 +120,32 @@ def test_words_are_the_same_with_a_small_cache_and_it_is_given_back():
     assert not coder.young and not coder.old
 
 
+def test_a_word_is_looked_up_once_a_batch_however_often_it_occurs():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return dict.get(self, *args)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return dict.__getitem__(self, key)
+
+    coder = P.WordCoder(open(WORD, encoding="utf-8").read())
+    coder.young = Counted()
+    coder.encode(["Some water.  some WATER. " * 500] * 20)
+    assert coder.young.asked < 100
+
+
+def test_words_at_the_ends_of_texts_and_marks_behind_them():
+    coder = P.WordCoder(open(WORD, encoding="utf-8").read())
+    batch = ["", "a", ".", " ", "ab", ". cd", "ab. ", " ab", "!", "ab!. cd.. ef.\ngh,ij, 3. É. é, ́. z", "Ab. <|endoftext|>. AB. ", "", "\x1c.\x0b,\ta.\t", "日. 本", "x. "]
+    for texts in (batch, batch[::-1], ["", ""], [" "], *([t] for t in batch)):
+        got = [np.frombuffer(x, dtype=coder.dtype).tolist() for x in coder.encode(texts)]
+        assert got == [WLIB.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_refuses_tokenizers_that_keep_case_or_space():
     with pytest.raises(ValueError):
         P.WordCoder(open(BYTE, encoding="utf-8").read())
