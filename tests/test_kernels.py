@@ -97,3 +97,26 @@ def test_map_images_keeps_shapes_and_nulls(spark):
     df = spark.createDataFrame([(1, [1, 2, 3, 4], 2, 2), (2, None, 1, 1), (3, [1, 2, 3, 4, 5, 6], 2, 3)], "img_id bigint, img array<int>, rows int, cols int")
     got = {r.img_id: (r.img, r.rows, r.cols) for r in R.map_images(df, R.transpose).collect()}
     assert got == {1: ([1, 3, 2, 4], 2, 2), 2: (None, None, None), 3: ([1, 4, 2, 5, 3, 6], 3, 2)}
+
+
+def test_saliency_of_a_vanishing_frequency():
+    """Images whose sum at (4, 4) is 0 but for rounding, against the SQL."""
+    import duckdb
+    import pandas as pd
+
+    from tessera.plans.q_kernels import _RESIDUAL
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (400, 8, 8))
+    sign = np.where(np.indices((8, 8)).sum(0) % 2, -1, 1)
+    for n in range(len(a)):  # make the alternating sum 0
+        while gap := int((a[n] * sign).sum()):
+            y, x = rng.integers(0, 8, 2)
+            a[n, y, x] = np.clip(a[n, y, x] - gap * sign[y, x], 0, 255)
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame({"vec_id": range(len(a)), "embedding": [((v.ravel() / 255) * 1.2 - 0.6).tolist() for v in a]}))
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM t")
+    want = con.execute(f"WITH {_RESIDUAL} SELECT (v - low) / (high - low) * 255 FROM r ORDER BY img_id, y, x").fetchnumpy()
+    want = next(iter(want.values())).reshape(a.shape)
+    assert np.abs(np.abs(np.fft.fft2(a))[:, 4, 4]).max() < 1e-6
+    assert (K.saliency(a) == np.floor(want + 0.5)).all()
