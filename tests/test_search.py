@@ -1,5 +1,7 @@
 """Hash pairs and groups against brute force."""
 
+import numpy as np
+
 from tessera.operators import search as S
 
 
@@ -51,3 +53,22 @@ def test_a_task_sends_k_rows_a_query(spark):
     d = np.round(np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1)), 9)
     np.fill_diagonal(d, np.inf)
     assert all(got[i, k + 1] == j for i in range(0, 900, 37) for k, j in enumerate(np.argsort(d[i], kind="stable")[:5]))
+
+
+def test_narrow_bands_make_no_join_of_keys(spark):
+    """At distance 18 a band has 3 or 4 bits: nearly all pairs met in each of 19 bands."""
+    rng = np.random.default_rng(3)
+    code = rng.integers(-(1 << 63), 1 << 63, 400)
+    code[200:] = code[:200] ^ (1 << rng.integers(0, 63, 200))
+    codes = spark.createDataFrame([(i, int(c)) for i, c in enumerate(code)], "id bigint, code bigint")
+    d = np.bitwise_count((code[:, None] ^ code[None]).view(np.uint64))
+    want = {(int(i), int(j), int(d[i, j])) for i, j in np.argwhere(d <= 18) if i < j}
+    pairs = S._near_distinct(codes, 18, 64)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    for tile in (S.TILE, 64):
+        S.TILE, before = tile, S.TILE
+        try:
+            got = list(map(tuple, S.near_codes(codes, 18).collect()))
+        finally:
+            S.TILE = before
+        assert len(got) == len(want) and set(got) == want
