@@ -1,8 +1,7 @@
-"""Linear bar codes as strings of modules (1 bar, 0 space), and Reed-Solomon codes, with Arrow functions over columns."""
+"""Linear bar codes as strings of modules (1 bar, 0 space), and Reed-Solomon codes; bar codes as expressions over columns too."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -203,22 +202,121 @@ class ReedSolomon:
         return bytes(word[: len(word) - self.parity])
 
 
-ENCODERS = {"code128": code128, "ean13": ean13, "itf": itf}
-READERS = {"code128": read_code128, "ean13": read_ean13, "itf": read_itf}
+# The same as expressions over columns, which need no Python on executors. Digits are those of ASCII.
 
 
-def _mapped(col: Column, f) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    return run(col)
+
+def _at(values: list, i: Column) -> Column:
+    return F.get(F.array(*(F.lit(v) for v in values)), i)
+
+
+def _bits(m: Column, start: Column | int, n: int) -> Column:
+    """The number that ``n`` modules from ``start`` (from 0) on spell."""
+    return F.conv(F.substr(m, F.lit(start) + 1, F.lit(n)), 2, 10).cast("int")
+
+
+def _joined(n: Column, each) -> Column:
+    """``each`` of 0 to n - 1 in one string; null if one of them is."""
+    parts = F.transform(F.sequence(F.lit(0), n - 1), each)
+    return F.when(n <= 0, F.lit("")).otherwise(_let(parts, lambda p: F.when(~F.exists(p, lambda v: v.isNull()), F.array_join(p, ""))))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def _code128_column(s: Column) -> Column:
+    values = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c) - 32)
+    known = [_modules(w) for w in CODE128]
+    check = lambda values: ((START_B + _sum(F.transform(values, lambda v, i: v.cast("bigint") * (i + 1)))) % 103).cast("int")
+    body = lambda values: F.array_join(F.transform(values, lambda v: _at(known, v)), "")
+    return F.when(~s.rlike("[^ -~]"), _let(values, lambda v: F.concat(F.lit(known[START_B]), body(v), _at(known, check(v)), F.lit(known[STOP]))))
+
+
+def _read_code128_column(m: Column) -> Column:
+    stop = _modules(CODE128[STOP])
+    known = {int(_modules(w), 2): i for i, w in enumerate(CODE128[:STOP])}
+    table = [known.get(i) for i in range(1 << 11)]
+    n = F.floor((F.length(m) - len(stop)) / 11).cast("int")
+    whole = m.rlike("^[01]+\\z") & m.endswith(stop) & ((F.length(m) - len(stop)) % 11 == 0) & (n >= 2)
+    values = F.when(whole, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(_at(table, _bits(m, i * 11, 11)), F.lit(-1))))
+
+    def text(values: Column) -> Column:
+        data = F.slice(values, 2, F.greatest(F.size(values) - 2, F.lit(0)))
+        check = (START_B + _sum(F.transform(data, lambda v, i: v.cast("bigint") * (i + 1)))) % 103
+        sound = (F.get(values, F.lit(0)) == START_B) & ~F.exists(data, lambda v: (v < 0) | (v > 94)) & (check == F.get(values, F.size(values) - 1))
+        return F.when(sound, F.array_join(F.transform(data, lambda v: F.char(v + 32)), ""))
+
+    return _let(values, text)
+
+
+def _gs1_column(s: Column) -> Column:
+    """The check digit of the first 12 digits."""
+    d = lambda i: F.substring(s, i + 1, 1).cast("int")
+    return F.pmod(-sum((d(i) * (3 if i % 2 else 1) for i in range(1, 12)), d(0)), F.lit(10))
+
+
+def _ean13_column(s: Column) -> Column:
+    def marks(full: Column) -> Column:
+        d = lambda i: F.substring(full, i + 1, 1).cast("int")
+        left = [_at([_ean_digit(x, EAN_PARITY[f][i]) for f in range(10) for x in range(10)], d(0) * 10 + d(i + 1)) for i in range(6)]
+        right = [_at([_ean_digit(x, "R") for x in range(10)], d(i)) for i in range(7, 13)]
+        return F.concat(F.lit("101"), *left, F.lit("01010"), *right, F.lit("101"))
+
+    def whole(s: Column) -> Column:
+        return F.when(F.length(s) == 12, F.concat(s, _gs1_column(s).cast("string"))).when(F.substring(s, 13, 1).cast("int") == _gs1_column(s), s)
+
+    return _let(_let(F.when(s.rlike("^[0-9]{12,13}\\z"), s), whole), marks)
+
+
+def _read_ean13_column(m: Column) -> Column:
+    left = {int(_ean_digit(d, k), 2): d + 10 * (k == "G") for d in range(10) for k in "LG"}
+    right = {int(_ean_digit(d, "R"), 2): d for d in range(10)}
+    firsts = {sum((k == "G") << i for i, k in enumerate(p)): n for n, p in enumerate(EAN_PARITY)}
+
+    def digits(m: Column) -> Column:
+        a = [_at([left.get(i) for i in range(128)], _bits(m, 3 + 7 * i, 7)) for i in range(6)]
+        b = [_at([right.get(i) for i in range(128)], _bits(m, 50 + 7 * i, 7)) for i in range(6)]
+        first = _at([firsts.get(i) for i in range(64)], sum((F.when(v >= 10, 1 << i).when(v < 10, 0) for i, v in enumerate(a)), F.lit(0)))
+        return F.concat(*(v.cast("string") for v in (first, *(v % 10 for v in a), *b)))
+
+    s = _let(F.when(m.rlike("^101[01]{42}01010[01]{42}101\\z"), m), digits)
+    return _let(s, lambda s: F.when(F.substring(s, 13, 1).cast("int") == _gs1_column(s), s))
+
+
+def _itf_column(s: Column) -> Column:
+    ok = s.rlike("^([0-9]{2})+\\z")
+    pairs = [itf(f"{i:02d}")[4:-5] for i in range(100)]
+    body = _joined(F.when(ok, (F.length(s) / 2).cast("int")), lambda i: _at(pairs, F.substr(s, i * 2 + 1, F.lit(2)).cast("int")))
+    return F.when(ok, F.concat(F.lit("1010"), body, F.lit("11101")))
+
+
+def _read_itf_column(m: Column) -> Column:
+    ok = m.startswith("1010") & m.endswith("11101")
+    body = F.when(ok, F.substr(m, F.lit(5), F.length(m) - 9))
+    wide = F.transform(F.regexp_extract_all(body, F.lit("(?s)((.)\\2*)"), F.lit(1)), lambda r: (F.length(r) == 3).cast("int"))
+    digits = {int(w, 2): str(i) for i, w in enumerate(ITF)}
+    table = [digits.get(i) for i in range(32)]
+
+    def digit(w: Column, h: Column) -> Column:  # bars and spaces of ten runs in turn
+        at = F.floor(h / 2).cast("int") * 10 + h % 2
+        return _at(table, sum((F.get(w, at + 2 * j) * (16 >> j) for j in range(1, 5)), F.get(w, at) * 16))
+
+    return _let(wide, lambda w: F.when(F.size(w) % 10 == 0, _joined((F.size(w) / 5).cast("int"), lambda h: digit(w, h))))
+
+
+ENCODERS = {"code128": _code128_column, "ean13": _ean13_column, "itf": _itf_column}
+READERS = {"code128": _read_code128_column, "ean13": _read_ean13_column, "itf": _read_itf_column}
 
 
 def encode(col: Column, kind: str) -> Column:
     """The modules of each text; null where the symbology cannot hold it."""
-    return _mapped(col, ENCODERS[kind])
+    return _let(col, ENCODERS[kind])
 
 
 def read(col: Column, kind: str) -> Column:
-    return _mapped(col, READERS[kind])
+    return _let(col, READERS[kind])

@@ -37,3 +37,21 @@ def test_reed_solomon_corrects_up_to_half_its_parity():
             for p in rng.sample(range(len(code)), min(len(code), rng.randint(0, parity // 2))):
                 code[p] ^= rng.randrange(1, 256)
             assert rs.decode(bytes(code)) == data
+
+
+def test_columns_agree_with_functions_and_need_no_python(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    texts = ["", "a", "Hi ~ there", "é", "a\n", "12", "123", "400638133393", "4006381333931", "4006381333932", "12a456789012", None]
+    texts += ["".join(rng.choice("0123456789") for _ in range(n)) for n in (2, 8, 10, 12, 12, 12, 20)]
+    one = {"code128": (S.code128, S.read_code128), "ean13": (S.ean13, S.read_ean13), "itf": (S.itf, S.read_itf)}
+    for kind, (write, read) in one.items():
+        marks = [m for t in texts if t is not None and (m := write(t)) is not None]
+        marks += [m[:i] + rng.choice("01x") + m[i + 1 :] for m in marks for i in rng.sample(range(len(m)), 8)] + ["", "1", "101011101", None]
+        df = spark.createDataFrame([(t, None) for t in texts] + [(None, m) for m in marks], "t string, m string")
+        out = df.select("t", "m", S.encode(F.col("t"), kind).alias("e"), S.read(F.col("m"), kind).alias("r"))
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+        for r in out.collect():
+            assert r.e == (None if r.t is None else write(r.t)), (kind, r.t)
+            assert r.r == (None if r.m is None else read(r.m)), (kind, r.m)
