@@ -72,3 +72,11 @@ def test_narrow_bands_make_no_join_of_keys(spark):
         finally:
             S.TILE = before
         assert len(got) == len(want) and set(got) == want
+
+
+def test_cross_check_searches_forward_once(spark):
+    """The first search is read three times; before, its plan was part of each."""
+    from tessera.plans import q_search
+
+    plan = q_search._cross(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
